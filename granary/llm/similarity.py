@@ -10,7 +10,12 @@ and the range of set sizes. A dual traversal drops node pairs whose largest poss
 under the least that their sizes ask for, and node pairs that lie in one component already; what
 is left at the leaves is counted exactly.
 
-Groups are components of shared shingles; they hold at most ``GROUP`` sets. Larger ones are joined
+The join runs twice. Sets that meet in a shared shingle, at sizes that allow it, first join on
+signatures of 256 bytes or some more, where the largest possible overlap decides alone; shingles that the same
+sets share are joined once. Only sets that this leaves fetch their texts and are counted, in groups
+of what the first join connects.
+
+Groups of up to ``GROUP`` sets are joined in one task. Larger ones are joined
 in blocks: first each set with others that chose the same shared shingle, which connects copies,
 then, for each shingle whose sets are still in several components, the sets outside its largest
 component with all its sets. No link between different components is left out, so the components
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_batches, texts
@@ -36,10 +41,12 @@ from granary.llm.components import components
 from granary.session import stage
 
 WORDS, PERCENT = 5, 80
-#: Sets of one group or block at most; slots of a signature; children of a node.
-GROUP, SLOTS, FANOUT = 512, 256, 8
-#: Counters of the frequency sketch and how many go in one row.
-COUNTERS, CHUNK = 1 << 18, 1 << 12
+#: Sets of one group or block at most; signatures of one; least and most slots of a
+#: signature; children of a node.
+GROUP, SIGNED_GROUP, SLOTS, MOST_SLOTS, FANOUT = 512, 4096, 256, 1 << 14, 8
+#: Bits of a frequency counter's number; counters in one row.
+COUNTER_BITS, CHUNK = 19, 1 << 13
+COUNTERS = 1 << COUNTER_BITS
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,9 +102,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             slots: list[np.ndarray] = []
             for t in texts(batch):
-                slots.append((shingles(t) >> np.uint64(64 - 18)).astype(np.int64))
+                slots.append((shingles(t) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
             total += np.bincount(np.concatenate(slots), minlength=COUNTERS) if slots else 0
-        rows = [total[i : i + CHUNK].tobytes() for i in range(0, COUNTERS, CHUNK)]
+        rows = [total[i : i + CHUNK].astype(np.int64).tobytes() for i in range(0, COUNTERS, CHUNK)]
         part = TaskContext.get().partitionId() % 1024
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["part", "chunk", "counts"])
 
@@ -114,27 +121,55 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return np.clip(np.round(4 * np.log2(np.maximum(total / usual, 1))), 0, 255).astype(np.uint8)
 
 
+def slot_counts(s: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """Tokens by slot; of twice as many slots, two that are neighbours fall into one."""
+    return np.bincount((s >> np.uint64(65 - slots.bit_length())).astype(np.int64), minlength=slots)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Tokens by slot, a byte each; a long set has more slots, so that they are about as full."""
+    slots = SLOTS
+    while slots * 4 < len(s) and slots < MOST_SLOTS:
+        slots *= 2
+    return np.minimum(slot_counts(s, slots), 255).astype(np.uint8).tobytes()
+
+
+def unfolded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of as many slots as the shortest has; 255 stands for any number."""
+    slots = min(map(len, signatures))
+    out = np.zeros((len(signatures), slots), np.uint16)
+    for i, b in enumerate(signatures):
+        row = np.frombuffer(b, np.uint8).astype(np.int64)
+        row[row == 255] = 65535
+        out[i] = np.minimum(row.reshape(slots, -1).sum(1), 65535)
+    return out
+
+
 def signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(doc_id, n_shingles, digest, prefix)``: the set's size, its 128-bit digest and its rarest
-    shingles, enough to meet each similar set in one."""
+    """``(doc_id, n_shingles, digest, prefix, signature)``: the set's size, its 128-bit digest, its
+    rarest shingles, enough to meet each similar set in one, and its tokens by slot."""
 
     def make():
         import hashlib
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, signatures = [], [], [], []
             for t in texts(batch):
                 s = shingles(t)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                order = np.lexsort((s, levels[(s >> np.uint64(64 - 18)).astype(np.int64)]))
-                prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64) if len(s) else [])
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "prefix"])
+                if not len(s):
+                    digests.append(None), prefixes.append([]), signatures.append(None)
+                    continue
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                order = np.lexsort((s, levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+                prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64))
+                signatures.append(signature(s))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "prefix", "signature"])
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, signature binary")
 
 
 class _Union:
@@ -149,16 +184,17 @@ class _Union:
         return i
 
 
-def tree_links(sets: list[np.ndarray], start: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join the sets' components, by dual traversal of a signature tree. ``start`` gives
-    each set the place of another that it is connected with already."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], np.uint64), sizes))
+def tree_links(slots: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None, start: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join the sets' components, by dual traversal of a signature tree. ``slots`` has
+    each set's tokens by slot. Without ``sets``, pairs whose bound suffices count as linked.
+    ``start`` gives each set the place of another that it is connected with already."""
+    n = len(sizes)
+    if n == 2 and sets is None:
+        bound = min(int(np.minimum(slots[0], slots[1]).sum(dtype=np.int64)), int(min(sizes)))
+        return [(0, 1)] if (100 + PERCENT) * bound >= PERCENT * int(sizes[0] + sizes[1]) else []
+    order = np.lexsort((*slots.T[:4], sizes))
     union = _Union(list(range(n)) if start is None else list(start))
-    level = np.zeros((n, SLOTS), np.uint16)
-    for i, j in enumerate(order):
-        level[i] = np.minimum(np.bincount((sets[j] >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 65535)
+    level = slots[order]
     most, low, high = [level], [sizes[order]], [sizes[order]]
     while len(most[-1]) > 1:
         at = np.arange(0, len(most[-1]), FANOUT)
@@ -179,8 +215,8 @@ def tree_links(sets: list[np.ndarray], start: list[int] | None = None) -> list[t
             i, j = int(order[a]), int(order[b])
             ri, rj = union.find(i), union.find(j)
             if ri != rj:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+                both = 0 if sets is None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if sets is None or 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
                     union.up[max(ri, rj)] = min(ri, rj)
                     links.append((i, j))
             continue
@@ -201,9 +237,9 @@ def tree_links(sets: list[np.ndarray], start: list[int] | None = None) -> list[t
     return links
 
 
-def _linked(groups: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
-    """Links ``(a, b)`` within groups. ``groups`` has the keys, ``rep`` and ``comp``, and ``sets``
-    the representatives' shingles; a group is bounded by its makers."""
+def _linked(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Links ``(a, b)`` within groups. ``groups`` has the keys, ``rep``, ``comp`` and ``shingles``;
+    a group is bounded by its makers."""
 
     def link(rows: pa.Table) -> pa.Table:
         reps, first, sets_, start, roots = [], {}, [], [], {}
@@ -213,23 +249,47 @@ def _linked(groups: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
                 start.append(roots.setdefault(comp, len(reps)))
                 reps.append(rep)
                 sets_.append(np.frombuffer(packed, np.uint64))
-        found = tree_links(sets_, start)
+        slots = np.array([np.minimum(slot_counts(x), 65535) for x in sets_], np.uint16)
+        found = tree_links(slots, np.array([len(x) for x in sets_]), sets_, start)
         return pa.table({"a": pa.array([reps[i] for i, _ in found], pa.int64()), "b": pa.array([reps[j] for _, j in found], pa.int64())})
 
-    return groups.join(sets, "rep").select(*keys, "rep", "comp", "shingles").groupBy(*keys).applyInArrow(link, "a bigint, b bigint")
+    return groups.select(*keys, "rep", "comp", "shingles").groupBy(*keys).applyInArrow(link, "a bigint, b bigint")
+
+
+def _possible(lists: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that connect what signatures can't tell apart in each of ``lists(list, rep)``;
+    many lists are joined in one task's turn, so many that a turn has some thousand rows."""
+    turns = max(1, lists.count() // 8192)
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("list")
+        signatures_ = rows.column("signature").to_pylist()
+        sizes, reps, ids = (rows.column(c).to_numpy() for c in ("n", "rep", "list"))
+        ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        found, start = [], 0
+        for end in ends:
+            found += [(start + i, start + j) for i, j in tree_links(unfolded(signatures_[start:end]), sizes[start:end])]
+            start = end
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(reps[at[:, 0]], pa.int64()), "b": pa.array(reps[at[:, 1]], pa.int64())})
+
+    rows = lists.join(signatures, "rep").select(F.pmod("list", F.lit(turns)).alias("turn"), "list", "rep", "n", "signature")
+    return rows.groupBy("turn").applyInArrow(link, "a bigint, b bigint")
 
 
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Shingles of the representatives that share a rare shingle with another, from their texts."""
-    chosen = docs.select("doc_id", "text").join(reps.select("rep").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
+    """Shingles of the representatives, from their texts, beside the other columns of ``reps``."""
+    chosen = docs.select("doc_id", "text").join(reps.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", *reps.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema.fields) + ", shingles binary"
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], ["rep", "shingles"])
+            rest = [c for c in batch.schema.names if c != "text"]
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], [*rest, "shingles"])
 
         return work
 
-    return map_batches(chosen, make, "rep bigint, shingles binary")
+    return map_batches(chosen, make, schema)
 
 
 def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
@@ -238,7 +298,7 @@ def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
     chosen = shared.groupBy("rep").agg(*picks).select("rep", F.posexplode(F.array("t0", "t1", "t2")).alias("k", "token"))
     counted = chosen.join(chosen.groupBy("k", "token").agg(F.count(F.lit(1)).alias("n")), ["k", "token"])
     blocks = counted.select("k", "token", F.pmod(F.xxhash64("rep", "k"), F.ceil(F.col("n") / group)).alias("block"), "rep", F.col("rep").alias("comp"))
-    first = stage(_linked(blocks, sets, ["k", "token", "block"]), "links-a")
+    first = stage(_linked(blocks.join(sets, "rep"), ["k", "token", "block"]), "links-a")
 
     known = shared.join(components(first).withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
     known = stage(known.distinct(), "links-known")
@@ -250,28 +310,47 @@ def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("minors") - 1)
     right = rows.select("token", F.explode(every).alias("i"), where(F.col("alls")).alias("j"), "rep", "comp")
     left = rows.where("comp <> main").select("token", where(F.col("minors")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "rep", "comp")
-    return first.union(_linked(left.unionByName(right), sets, ["token", "i", "j"]))
+    return first.union(_linked(left.unionByName(right).join(sets, "rep"), ["token", "i", "j"]))
 
 
-def join_similar(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def _runs(tokens: DataFrame) -> DataFrame:
+    """``(token, rep, head)`` of sets that meet in a token at sizes that allow similarity: in order
+    of size, a token's sets are cut where a size is too far above the one before."""
+    met = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("token")
+    order = Window.partitionBy("token").orderBy("n", "rep")
+    far = F.coalesce(100 * F.lag("n").over(order) < PERCENT * F.col("n"), F.lit(True))
+    cut = tokens.join(met, "token").withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
+    whole = Window.partitionBy("token", "run")
+    runs = cut.withColumn("head", F.min("rep").over(whole)).withColumn("tail", F.max("rep").over(whole)).where("head <> tail")
+    return runs.select(F.xxhash64("token", "run").alias("token"), "rep", "head")
+
+
+def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row a row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs, sketch(docs)), "similar-rows")
     classes = stage(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "similar-classes")
-    reps = rows.where("digest IS NOT NULL").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    tokens = reps.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token")).repartition("token")
-    met = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail")
-    shared = stage(tokens.join(met.select("token", "head"), "token"), "similar-shared")
-
-    near = components(shared.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    near = stage(near.withColumnRenamed("id", "rep"), "similar-near")
+    reps = rows.where("digest IS NOT NULL").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "signature")
+    shared = stage(_runs(reps.select("rep", "n", F.explode("prefix").alias("token")).repartition("token")), "similar-shared")
+
+    # By signatures.
+    counted = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    over = counted.where(F.col("size") > signed_group).select("token")
+    members = shared.join(counted.where(F.col("size") <= signed_group), "token").groupBy("token").agg(F.sort_array(F.collect_set("rep")).alias("members"))
+    lists = members.select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep"))
+    possible = _possible(stage(lists, "similar-lists"), reps.drop("prefix"))
+    beyond = shared.join(over, "token", "left_semi").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+
+    # By shingles.
+    near = components(possible.union(beyond)).withColumnRenamed("id", "rep")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    near = near.join(sizes, "component")
-    sets = stage(_sets(docs, near), "similar-sets")
-    links = _linked(near.where(F.col("n") <= group).select("component", "rep", F.col("rep").alias("comp")), sets, ["component"])
-    large = shared.join(near.where(F.col("n") > group).select("rep"), "rep", "left_semi").select("token", "rep")
-    if not sizes.where(F.col("n") > group).isEmpty():
-        links = links.union(_large_links(large, sets, group))
+    near = stage(near.join(sizes, "component"), "similar-near")
+    small = _sets(docs, near.where(F.col("n") <= group).select("component", "rep"))
+    links = stage(_linked(small.withColumn("comp", F.col("rep")), ["component"]), "links")
+    large = near.where(F.col("n") > group).select("rep")
+    if not large.isEmpty():
+        sets = stage(_sets(docs, large), "similar-sets")
+        links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep"), sets, group))
     found = components(links).withColumnRenamed("id", "rep")
     named = classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
