@@ -47,6 +47,9 @@ GROUP, SIGNED_GROUP, SLOTS, MOST_SLOTS, FANOUT = 512, 4096, 256, 1 << 14, 8
 #: Bits of a frequency counter's number; counters in one row.
 COUNTER_BITS, CHUNK = 19, 1 << 13
 COUNTERS = 1 << COUNTER_BITS
+#: Bits of a place in the filter of ids.
+FILTER_BITS = 21
+_COUNTS = "part int, chunk int, counts binary"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,32 +94,18 @@ def prefix_length(n: int) -> int:
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Frequency level of each counter's shingles (log scale), over all documents. Tasks give their
-    counters in rows that are summed in two steps, so that no group grows with the tasks."""
-    schema = "part int, chunk int, counts binary"
+    """Frequency level of each counter's shingles (log scale), over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            slots: list[np.ndarray] = []
-            for t in texts(batch):
-                slots.append((shingles(t) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
+            slots = [(shingles(t) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64) for t in texts(batch)]
             total += np.bincount(np.concatenate(slots), minlength=COUNTERS) if slots else 0
-        rows = [total[i : i + CHUNK].astype(np.int64).tobytes() for i in range(0, COUNTERS, CHUNK)]
-        part = TaskContext.get().partitionId() % 1024
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["part", "chunk", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in rows.column("counts").to_pylist())
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        yield _own(total)
 
-    once = docs.select("text").mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(add, schema)
-    rows = once.groupBy("chunk").applyInArrow(add, schema).toArrow()
-    total = np.zeros(COUNTERS, np.int64)
-    for chunk, b in zip(rows.column("chunk").to_pylist(), rows.column("counts").to_pylist(), strict=True):
-        total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(b, np.int64)
+    total = _summed(docs.select("text").mapInArrow(count, _COUNTS), np.int64)
+    if not len(total):
+        return np.zeros(COUNTERS, np.uint8)
     usual = max(float(np.median(total)), 1.0)
     return np.clip(np.round(4 * np.log2(np.maximum(total / usual, 1))), 0, 255).astype(np.uint8)
 
@@ -277,6 +266,104 @@ def _possible(lists: DataFrame, signatures: DataFrame) -> DataFrame:
     return rows.groupBy("turn").applyInArrow(link, "a bigint, b bigint")
 
 
+def _summed(rows: DataFrame, dtype: type) -> np.ndarray:
+    """Arrays of fixed size, ``(part, chunk, counts)`` from each task, added up in two steps, so that
+    no group grows with the tasks."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, dtype).astype(np.int64) for b in rows.column("counts").to_pylist())
+        total = np.minimum(total, np.iinfo(dtype).max).astype(dtype)
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    once = rows.groupBy("part", "chunk").applyInArrow(add, _COUNTS)
+    chunks = once.groupBy("chunk").applyInArrow(add, _COUNTS).toArrow().sort_by("chunk")
+    return np.frombuffer(b"".join(chunks.column("counts").to_pylist()), dtype)
+
+
+def _own(total: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    rows = [total[i : i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
+    part = TaskContext.get().partitionId() % 1024
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["part", "chunk", "counts"])
+
+
+def _slots_of(ids: np.ndarray) -> np.ndarray:
+    """Two places of an id in the filter."""
+    h = _mixed(ids.astype(np.int64).view(np.uint64) * _P)
+    return np.stack([h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)], 1).astype(np.int64)
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Shingles of the representatives, from their texts, beside the other columns of ``reps``.
+
+    A filter of fixed size, made in the tasks, drops most other documents before anything moves;
+    the join decides. A filter that is full lets all pass.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, np.uint8)
+        for batch in batches:
+            seen[_slots_of(batch.column("rep").to_numpy()).ravel()] = 1
+        yield _own(seen)
+
+    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(_summed(reps.select("rep").mapInArrow(mark, _COUNTS), np.uint8) > 0))
+
+    def make():
+        bits = np.unpackbits(seen.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            hit = bits[_slots_of(batch.column("doc_id").to_numpy())].all(1) if batch.num_rows else np.zeros(0, bool)
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], ["doc_id", "shingles"])
+
+        return work
+
+    found = map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, shingles binary")
+    return found.join(reps, F.col("doc_id") == F.col("rep")).drop("doc_id")
+
+
+def _linked(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Links ``(a, b)`` within groups. ``groups`` has the keys, ``rep``, ``comp`` and ``shingles``;
+    a group is bounded by its makers."""
+
+    def link(rows: pa.Table) -> pa.Table:
+        reps, first, sets_, start, roots = [], {}, [], [], {}
+        for rep, comp, packed in zip(*(rows.column(c).to_pylist() for c in ("rep", "comp", "shingles")), strict=True):
+            if rep not in first:
+                first[rep] = len(reps)
+                start.append(roots.setdefault(comp, len(reps)))
+                reps.append(rep)
+                sets_.append(np.frombuffer(packed, np.uint64))
+        slots = np.array([np.minimum(slot_counts(x), 65535) for x in sets_], np.uint16)
+        found = tree_links(slots, np.array([len(x) for x in sets_]), sets_, start)
+        return pa.table({"a": pa.array([reps[i] for i, _ in found], pa.int64()), "b": pa.array([reps[j] for _, j in found], pa.int64())})
+
+    return groups.select(*keys, "rep", "comp", "shingles").groupBy(*keys).applyInArrow(link, "a bigint, b bigint")
+
+
+def _possible(lists: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that connect what signatures can't tell apart in each of ``lists(list, rep)``;
+    many lists are joined in one task's turn, so many that a turn has some thousand rows."""
+    turns = max(1, lists.count() // 8192)
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("list")
+        signatures_ = rows.column("signature").to_pylist()
+        sizes, reps, ids = (rows.column(c).to_numpy() for c in ("n", "rep", "list"))
+        ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        found, start = [], 0
+        for end in ends:
+            found += [(start + i, start + j) for i, j in tree_links(unfolded(signatures_[start:end]), sizes[start:end])]
+            start = end
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(reps[at[:, 0]], pa.int64()), "b": pa.array(reps[at[:, 1]], pa.int64())})
+
+    rows = lists.join(signatures, "rep").select(F.pmod("list", F.lit(turns)).alias("turn"), "list", "rep", "n", "signature")
+    return rows.groupBy("turn").applyInArrow(link, "a bigint, b bigint")
+
+
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Shingles of the representatives, from their texts, beside the other columns of ``reps``."""
     chosen = docs.select("doc_id", "text").join(reps.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", *reps.columns)
@@ -345,12 +432,11 @@ def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED
     near = components(possible.union(beyond)).withColumnRenamed("id", "rep")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     near = stage(near.join(sizes, "component"), "similar-near")
-    small = _sets(docs, near.where(F.col("n") <= group).select("component", "rep"))
-    links = stage(_linked(small.withColumn("comp", F.col("rep")), ["component"]), "links")
+    sets = stage(_sets(docs, near), "similar-sets")
+    links = stage(_linked(sets.where(F.col("n") <= group).withColumn("comp", F.col("rep")), ["component"]), "links")
     large = near.where(F.col("n") > group).select("rep")
     if not large.isEmpty():
-        sets = stage(_sets(docs, large), "similar-sets")
-        links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep"), sets, group))
+        links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep"), sets.where(F.col("n") > group).select("rep", "shingles"), group))
     found = components(links).withColumnRenamed("id", "rep")
     named = classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
