@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             weights[terms[e["key"]], j] = (1 + np.log(e["value"])) * idf[terms[e["key"]]]
     weights /= np.maximum(np.linalg.norm(weights, axis=0), 1e-12)
     pad = lambda values, fill: np.array([*values, *[fill] * (wide - len(kept))])
-    index = Index(terms, idf, weights, weights.reshape(len(terms), -1, BLOCK).max(2), pad([float(r["label"]) for r in kept], 0.0), pad([stands[r["label"]] for r in kept], 1.0), pad([r["id"] for r in kept], -1), (nothing[0], nothing[1]))
+    index = Index(terms, idf, weights, weights.reshape(len(terms), wide // BLOCK, BLOCK).max(2), pad([float(r["label"]) for r in kept], 0.0), pad([stands[r["label"]] for r in kept], 1.0), pad([r["id"] for r in kept], -1), (nothing[0], nothing[1]))
     if kept:
         votes = [index.vote(*index.nearest(at := np.flatnonzero(weights[:, j]), weights[at, j], but=j)) for j in range(len(kept))]
         votes.append(index.vote(np.zeros(0, np.int64), np.zeros(0)))
