@@ -31,8 +31,8 @@ from granary.session import stage
 #: Documented bounds of the fit: examples with label 1 and with label 0, and terms.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 2000, 6000, 1024
 #: A term counts if it's in so many examples of different text, so many times likelier, and at a
-#: chi-square that twenty times as many chance terms as there are would hardly reach.
-LEAST_EXAMPLES, LEAST_LIFT, SPARE = 3, 2.0, 20
+#: chi-square that a thousand times as many chance terms as there are would hardly reach.
+LEAST_EXAMPLES, LEAST_LIFT, SPARE = 3, 2.0, 1000
 BLOCK, NEAREST = 64, 25
 _WORD = re.compile(r"\w+")
 
