@@ -324,61 +324,6 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return found.join(reps, F.col("doc_id") == F.col("rep")).drop("doc_id")
 
 
-def _linked(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Links ``(a, b)`` within groups. ``groups`` has the keys, ``rep``, ``comp`` and ``shingles``;
-    a group is bounded by its makers."""
-
-    def link(rows: pa.Table) -> pa.Table:
-        reps, first, sets_, start, roots = [], {}, [], [], {}
-        for rep, comp, packed in zip(*(rows.column(c).to_pylist() for c in ("rep", "comp", "shingles")), strict=True):
-            if rep not in first:
-                first[rep] = len(reps)
-                start.append(roots.setdefault(comp, len(reps)))
-                reps.append(rep)
-                sets_.append(np.frombuffer(packed, np.uint64))
-        slots = np.array([np.minimum(slot_counts(x), 65535) for x in sets_], np.uint16)
-        found = tree_links(slots, np.array([len(x) for x in sets_]), sets_, start)
-        return pa.table({"a": pa.array([reps[i] for i, _ in found], pa.int64()), "b": pa.array([reps[j] for _, j in found], pa.int64())})
-
-    return groups.select(*keys, "rep", "comp", "shingles").groupBy(*keys).applyInArrow(link, "a bigint, b bigint")
-
-
-def _possible(lists: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that connect what signatures can't tell apart in each of ``lists(list, rep)``;
-    many lists are joined in one task's turn, so many that a turn has some thousand rows."""
-    turns = max(1, lists.count() // 8192)
-
-    def link(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("list")
-        signatures_ = rows.column("signature").to_pylist()
-        sizes, reps, ids = (rows.column(c).to_numpy() for c in ("n", "rep", "list"))
-        ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        found, start = [], 0
-        for end in ends:
-            found += [(start + i, start + j) for i, j in tree_links(unfolded(signatures_[start:end]), sizes[start:end])]
-            start = end
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(reps[at[:, 0]], pa.int64()), "b": pa.array(reps[at[:, 1]], pa.int64())})
-
-    rows = lists.join(signatures, "rep").select(F.pmod("list", F.lit(turns)).alias("turn"), "list", "rep", "n", "signature")
-    return rows.groupBy("turn").applyInArrow(link, "a bigint, b bigint")
-
-
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Shingles of the representatives, from their texts, beside the other columns of ``reps``."""
-    chosen = docs.select("doc_id", "text").join(reps.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", *reps.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema.fields) + ", shingles binary"
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rest = [c for c in batch.schema.names if c != "text"]
-            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], [*rest, "shingles"])
-
-        return work
-
-    return map_batches(chosen, make, schema)
-
-
 def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
     """Links among sets of groups that are too large for one task; ``shared(token, rep)``."""
     picks = [F.min(F.struct(F.xxhash64("token", F.lit(k)), "token"))["token"].alias(f"t{k}") for k in range(3)]
