@@ -347,11 +347,12 @@ def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
 
 def _runs(tokens: DataFrame) -> DataFrame:
     """``(token, rep, head)`` of sets that meet in a token at sizes that allow similarity: in order
-    of size, a token's sets are cut where a size is too far above the one before."""
-    met = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("token")
+    of size, a token's sets are cut where a size is too far above the one before. All windows use
+    one shuffle by token."""
     order = Window.partitionBy("token").orderBy("n", "rep")
     far = F.coalesce(100 * F.lag("n").over(order) < PERCENT * F.col("n"), F.lit(True))
-    cut = tokens.join(met, "token").withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
+    last = F.coalesce(100 * F.col("n") < PERCENT * F.lead("n").over(order), F.lit(True))
+    cut = tokens.select("*", far.alias("far"), last.alias("last")).where("NOT (far AND last)").withColumn("run", F.sum(F.col("far").cast("int")).over(order))
     whole = Window.partitionBy("token", "run")
     runs = cut.withColumn("head", F.min("rep").over(whole)).withColumn("tail", F.max("rep").over(whole)).where("head <> tail")
     return runs.select(F.xxhash64("token", "run").alias("token"), "rep", "head")
@@ -361,9 +362,12 @@ def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED
     """``(doc_id, n_shingles, component_id)``, one row a row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs, sketch(docs)), "similar-rows")
-    classes = stage(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "similar-classes")
-    reps = rows.where("digest IS NOT NULL").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "signature")
-    shared = stage(_runs(reps.select("rep", "n", F.explode("prefix").alias("token")).repartition("token")), "similar-shared")
+    # Rows of one digest have the same set, so any of them gives the class its prefix and signature.
+    own = [F.first(c).alias(c) for c in ("prefix", "signature")]
+    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *own)
+    classes = stage(classes, "similar-classes")
+    reps = classes.drop("digest")
+    shared = stage(_runs(reps.select("rep", "n", F.explode("prefix").alias("token"))), "similar-shared")
 
     # By signatures.
     counted = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
