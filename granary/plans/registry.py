@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions import scalar, words
+from granary.functions import keys, scalar, words
 from granary.operators import access, encode, index, stats, verify
 from granary.operators.rowid import block_of, with_row_id
 from granary.session import stage
@@ -99,6 +99,21 @@ def composite_row_ids(spark, d):
     return numbered(spark, d, "conversations", ["conv_id", "turn"], ["role"])
 
 
+@query("""SELECT conv_id, turn, '018' || printf('%015X', conv_id) || '018' || printf('%015X', turn) || '01' || hex(role) || '0000' AS key_digits, turn AS turn_back, role AS role_back FROM conversations""")
+def composite_key_bytes(spark, d):
+    """Keys whose bytes sort as their parts do, and parts read back from them."""
+    key = keys.key_bytes([(F.col("conv_id"), "i"), (F.col("turn"), "i"), (F.col("role"), "t")])
+    rows = table(spark, d, "conversations").select("conv_id", "turn", key.alias("key"))
+    return rows.select("conv_id", "turn", F.hex("key").alias("key_digits"), keys.key_part(F.col("key"), "iit", 1).alias("turn_back"), keys.key_part(F.col("key"), "iit", 2).alias("role_back"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id DESC, turn) - 1 AS position FROM conversations")
+def integer_key_order(spark, d):
+    """Positions by the bytes of a key with a negative integer in front."""
+    key = keys.key_bytes([(-F.col("conv_id"), "i"), (F.col("turn"), "i")])
+    return with_row_id(table(spark, d, "conversations").select("conv_id", "turn", key.alias("key")), ["key"], "position").drop("key")
+
+
 @query("SELECT count(*) AS row_count, count(DISTINCT c_custkey) AS key_count, max(strlen(c_name)) AS max_c_name_len FROM customer")
 def key_counts(spark, d):
     return access.table_counts(table(spark, d, "customer"), ["c_custkey"], ["c_name"])

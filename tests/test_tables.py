@@ -4,9 +4,11 @@ import sqlite3
 
 import pytest
 
+from granary.functions import keys
 from granary.operators import encode, index
 from granary.operators.access import DuplicateKeyError
 from granary.operators.rowid import assert_dense, with_row_id
+from granary.plans import cli
 from granary.plans.table import Table
 from granary.sources import read_csv, read_lines, read_sqlite, reader
 from granary.types import SpecError, column_specs, parse_datetime, truncate
@@ -76,3 +78,37 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in read_sqlite(spark, str(tmp_path / "s.db"), "t").collect()] == [(1, 2.5, "x"), (None, None, None)]
     with pytest.raises(ValueError):
         reader("nothing")
+
+
+def test_keys_sort_as_their_parts(spark):
+    from pyspark.sql import functions as F
+
+    ints = [None, -(1 << 63), -(1 << 60), -1, 0, 1, 255, 256, (1 << 63) - 1]
+    texts = [None, "", "\0", "\0\1", "\1", "a", "a\0", "a\0b", "aa", "é", "日本", "😀", "x" * 20_000]
+    rows = [(i, t, j) for i in ints for t in texts for j in (None, -5, 7)]
+    df = spark.createDataFrame(rows, "i bigint, t string, j int")
+    parts = [(F.col("i"), "i"), (F.col("t"), "t"), (F.col("j"), "i")]
+    got = df.withColumn("key", keys.key_bytes(parts)).select("*", *[keys.key_part(F.col("key"), "iti", n).alias(f"b{n}") for n in range(3)]).collect()
+    assert all((r.i, r.t, r.j) == (r.b0, r.b1, r.b2) for r in got)
+
+    def order(r):
+        return [(v is not None, v.encode() if isinstance(v, str) else v) if v is not None else (False,) for v in (r.i, r.t, r.j)]
+
+    assert [tuple(r[:3]) for r in sorted(got, key=lambda r: bytes(r.key))] == [tuple(r[:3]) for r in sorted(got, key=order)]
+    assert len({bytes(r.key) for r in got}) == len(rows)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("id,t,d\n" + "".join(f"{i},w{i % 3},{i}.25\n" for i in range(50)))
+    where = [str(tmp_path / "a.csv"), str(tmp_path / "t")]
+    assert cli.run(spark, ["both", "csv", *where, "--types", "it.", "--encodings", "uTu", "--keys", "id", "--secondary", "t+d"]) == 0
+    assert "50 rows stored" in capsys.readouterr().out
+    assert Table.open(spark, where[1]).find(["t", "d"], ["w1", 1.25]).count() == 1
+    (tmp_path / "a.csv").write_text("id,t,d\n" + "".join(f"{i},w{i % 3},{i + (i == 7)}.25\n" for i in range(51)))
+    assert cli.run(spark, ["verify", "csv", *where]) == 1
+    said = capsys.readouterr().out
+    assert "not_stored: 1" in said and "bad_d: 1" in said
+    assert cli.run(spark, ["import", "csv", where[0], str(tmp_path / "u"), "--types", "it.", "--limit", "10"]) == 0
+    assert Table.open(spark, str(tmp_path / "u")).data().count() == 10
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["import", "csv", *where])
