@@ -34,7 +34,8 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad where the row of ``labels`` with its id has quality 0."""
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg((1 - F.max("quality")).cast("bigint").alias("bad"))
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
@@ -82,9 +83,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_chat, op3_urls, op4_sentencepiece, op5_media, op6_toxicity, op7_exact_dedup, op8_similarity, op9_quality, op10_language)}
 
 
+def _level_sql(name: str, groups: str, parent: str, prior: str, on: str) -> str:
+    """Posteriors of one level of hosts from the prior means of the level above."""
+    return f"""{name}_prior AS (SELECT g.*, {prior} AS prior FROM {groups} g JOIN {parent} u ON {on}),
+{name}_spread AS (SELECT least(greatest(coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.01), 0.001), 0.9) AS rho FROM {name}_prior),
+{name} AS (SELECT g.*, (k + (1 / rho - 1) * prior) / (n + 1 / rho - 1) AS m, n + 1 / rho - 1 AS strength FROM {name}_prior g, {name}_spread)"""
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in RULES)
+    two = ", ".join(f"'{s}'" for s in urls.TWO_LABELS)
+    return f"""WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+outcomes AS (SELECT doc_id AS page_id, 1 - max(quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+counted AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+ends AS (SELECT *, regexp_extract(host, '[^.]*$') AS one, regexp_extract(host, '([^.]*[.])?[^.]*$') AS two, regexp_extract(host, '([^.]*[.])?([^.]*[.])?[^.]*$') AS three FROM counted),
+hosts AS (SELECT host, n, k, CASE WHEN two IN ({two}) THEN three ELSE two END AS domain, CASE WHEN two IN ({two}) THEN two ELSE one END AS suffix FROM ends),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+everything AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM suffixes),
+{_level_sql("top", "suffixes", "everything", "u.m", "true")},
+{_level_sql("middle", "domains", "top", "u.m", "g.suffix = u.suffix")},
+{_level_sql("own", "hosts", "middle", "u.m", "g.domain = u.domain")},
+known AS (SELECT host, m AS bad_share, greatest(m - {urls.SIGMAS} * sqrt(m * (1 - m) / (strength + 1)), 0) AS bad_bound FROM own),
+rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
+fits AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+best AS (SELECT DISTINCT host, path, rule, verdict FROM fits QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC, verdict DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad_bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(bad_share, 6) AS bad_share, round(bad_bound, 6) AS bad_bound
+FROM parsed JOIN known USING (host) LEFT JOIN best USING (host, path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the same rows over whole tables in reasonable time."""
     return {
+        "op3_urls": _urls_sql(),
         "op7_exact_dedup": """WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
     }
