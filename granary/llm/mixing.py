@@ -49,7 +49,8 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum(F.col("source_size").cast("double")).over(everything) - (F.sum("_cap").over(filling.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cap"))) / F.sum("_w").over(rest)
     leveled = weighed.withColumn("_level", level)
-    first_open = F.min(F.when(F.col("_cap") / F.col("_w") >= F.col("_level"), F.struct((F.col("_cap") / F.col("_w")).alias("at"), F.col("_level").alias("level")))).over(everything)["level"]
+    # Past the first source that isn't full, levels only fall, so the largest is that source's, also among equal ones.
+    first_open = F.max(F.when(F.col("_cap") / F.col("_w") >= F.col("_level"), F.col("_level"))).over(everything)
     return leveled.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_w") * first_open), F.col("_cap"))).select("source", "source_size", "target")
 
 

@@ -105,6 +105,21 @@ def test_mixing(spark, docs, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_targets_of_equal_sources(spark):
+    for sizes, cycle in (([100] * 6, (1, 2, 3)), ([50] * 20, (1, 2, 3)), ([10, 20], (1, 2, 3)), ([10, 20, 30], (1, 2, 3)), ([0, 0, 5, 5], (1,)), ([7] * 9, (2, 2, 0.5))):
+        want, left, open_ = {}, float(sum(sizes)), set(range(len(sizes)))
+        while open_:
+            share = left / sum(cycle[i % len(cycle)] for i in open_)
+            over = [i for i in open_ if share * cycle[i % len(cycle)] > 3 * sizes[i]]
+            for i in over or list(open_):
+                want[i] = 3.0 * sizes[i] if over else share * cycle[i % len(cycle)]
+                open_.discard(i)
+                left -= want[i]
+        sources = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "source string, source_size bigint")
+        got = {int(r.source[1:]): r.target for r in mixing.targets(sources, tuple(map(float, cycle))).collect()}
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want) and math.isclose(sum(got.values()), sum(sizes))
+
+
 def test_sentencepiece(spark, docs, rows):
     import public_tokenizers
     import sentencepiece
