@@ -34,8 +34,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_WHITE)), F.lit(0)).cast("bigint")
 
 
-def sampling_key(doc_id: Column, size: Column, weight: Column) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, size, F.lit("mix")), 11) + 0.5) / float(1 << 53)
+def sampling_key(doc_id: Column, size: Column, weight: Column, nameless: Column) -> Column:
+    """``nameless`` is null but for rows without doc_id; a null adds nothing to the hash."""
+    h = F.xxhash64(doc_id, size, F.lit("mix"), nameless)
+    u = (F.shiftrightunsigned(h, 11) + 0.5) / float(1 << 53)
     return -F.log(u) / F.when(weight > 0, weight).otherwise(1.0)
 
 
@@ -54,19 +56,24 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most
     return leveled.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_w") * first_open), F.col("_cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = 3) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``, one row a row of ``docs``.
-
-    ``weights`` has ``(doc_id, weight)``, one row a document.
-    """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+def _keyed(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Adds ``key`` and ``slot`` to what ``_sized`` gives."""
     if weights is None:
-        sized = sized.withColumn("weight", F.lit(1.0))
+        weighed = docs.withColumn("weight", F.lit(1.0))
     else:
-        sized = sized.join(weights.select(F.col("doc_id").alias("_id"), "weight"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    keyed = sized.withColumn("key", sampling_key(F.col("doc_id"), F.col("size"), F.coalesce("weight", F.lit(1.0)))).drop("weight")
-    keyed = stage(keyed.withColumn("slot", F.floor((1 - F.exp(-F.col("key"))) * (SLOTS - 1)).cast("int")), "mix")
+        weighed = docs.join(weights.select(F.col("doc_id").alias("_id"), "weight"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    keyed = weighed.withColumn("key", sampling_key(F.col("doc_id"), F.col("size"), F.coalesce("weight", F.lit(1.0)), F.col("nameless"))).drop("weight", "nameless")
+    return keyed.withColumn("slot", F.floor((1 - F.exp(-F.col("key"))) * (SLOTS - 1)).cast("int"))
 
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows without doc_id are told apart by ``nameless``, a hash of their text."""
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("nameless"), *more)
+
+
+def _planned(rows: DataFrame, keyed: DataFrame, cycle: tuple[float, ...], most_epochs: int) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``times``, how often a row is taken, to ``rows``, which have
+    the columns of ``keyed``; ``keyed`` has all rows and decides where each source is cut."""
     by_slot = stage(keyed.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
     aims = stage(targets(by_slot.groupBy("source").agg(F.sum("slot_size").alias("source_size")), cycle, most_epochs), "mix-targets")
     small = aims.count() <= MOST_BROADCAST
@@ -89,8 +96,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, .
     plan = stage(aimed.join(beside(last), same("aim", "cross_source"), "left").drop("cross_source"), "mix-plan")
 
     drawn = F.when(F.col("cross_slot").isNull(), F.col("rest") > 0).otherwise((F.col("slot") < F.col("cross_slot")) | (F.col("slot") == F.col("cross_slot")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False)))
-    taken = (F.col("size") * (F.col("epochs") + F.when(drawn, 1).otherwise(0))).cast("bigint")
-    return keyed.join(beside(plan), same("source", "aim"), "left").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    times = F.col("epochs") + F.when(drawn & (F.col("size") > 0), 1).otherwise(0)
+    return rows.join(beside(plan), same("source", "aim"), "left").withColumn("times", times.cast("int"))
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = 3) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)``, one row a row of ``docs``.
+
+    ``weights`` has ``(doc_id, weight)``, one row a document.
+    """
+    keyed = stage(_keyed(_sized(docs), weights), "mix")
+    taken = (F.col("size") * F.col("times")).cast("bigint")
+    return _planned(keyed, keyed, cycle, most_epochs).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -98,8 +115,13 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.when(F.max("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
 
 
-def mixed_documents(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with its own columns."""
-    plan = mix(docs, weights).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(plan, F.col("doc_id") == F.col("_id"))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = 3) -> DataFrame:
+    """The mix itself: each row as many times as it is taken, with its own columns.
+
+    Each row decides for itself, so ids may be null or repeated. Rows without words come once for
+    each whole epoch of their source. Keys are computed twice, as texts aren't written for them.
+    """
+    keyed = stage(_keyed(_sized(docs), weights), "mix")
+    rows = _keyed(_sized(docs, F.struct(*docs.columns).alias("row")), weights)
+    planned = _planned(rows, keyed, cycle, most_epochs).where("times > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -120,6 +120,23 @@ def test_mixing_targets_of_equal_sources(spark):
         assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want) and math.isclose(sum(got.values()), sum(sizes))
 
 
+def test_mixed_documents_of_null_and_repeated_ids(spark):
+    few = [(1, "x y", "a"), (None, "p q", "a"), (2, "", "a"), (None, None, "a"), (3, " \t", "a")]
+    many = [(1, " ".join(f"same{j}" for j in range(10)), "b")] + [(None if i % 2 else i, " ".join(f"w{i}" for _ in range(10)), "b") for i in range(10, 49)]
+    docs = spark.createDataFrame([(*r, -1, -2) for r in few + many], "doc_id bigint, text string, source string, size int, times int")
+    weights = spark.createDataFrame([(1, 2.0), (10, 0.5)], "doc_id bigint, weight double")
+    for by in (None, weights):
+        got = Counter(map(tuple, mixing.mixed_documents(docs, by).collect()))
+        assert {r[:3]: n for r, n in got.items() if r[2] == "a"} == dict.fromkeys(few, 3)
+        copies = [n for r, n in got.items() if r[2] == "b"]
+        assert max(copies) == 1 and sum(copies) == 39  # of 404 words 12 go to a, so 392 to b
+        assert got == Counter(map(tuple, mixing.mixed_documents(docs.repartition(5), by).collect()))
+        taken = Counter()
+        for r in mixing.mix(docs, by).collect():
+            taken[r.source] += r.taken
+        assert taken == {"a": 12, "b": 390}
+
+
 def test_sentencepiece(spark, docs, rows):
     import public_tokenizers
     import sentencepiece
