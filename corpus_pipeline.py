@@ -33,9 +33,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word shingles, the one with the smallest id stays."""
-    found = similarity.join_similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of documents linked by word shingles, the one with the smallest id stays; of linked texts
+    that share this id, the one with the least hash."""
+    found = stage(similarity.linked(docs).where("doc_id IS NOT NULL AND comp IS NOT NULL"), "pipeline-near")
+    first = found.where("doc_id = component_id")
+    several = first.groupBy("comp").agg(F.min("text_hash").alias("_kept"), F.max("text_hash").alias("_most")).where("_kept <> _most")
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash").union(first.join(several, "comp").where("text_hash <> _kept").select("doc_id", "text_hash"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone.toDF("_id", "_hash").hint("shuffle_hash"), same, "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Word n-gram Jaccard join by signature trees, and the components of its links.
 
 Documents are sets of distinct shingles of five words (all words as one if fewer), as 64-bit
-hashes. Equal sets are one class with the least id as its representative. In any fixed order of
+hashes. Equal sets are one class, which has a number of its own while links are found. In any fixed order of
 shingles, two sets of similarity t share one of the first ``n - ceil(t n) + 1`` of each; the order
 puts rare shingles first, by counts over the whole corpus in a sketch of fixed size. Sets that
 share such a shingle are joined in groups by signature trees: each node holds, for each slot of a
@@ -24,7 +24,8 @@ n comparisons.
 
 Null texts and texts without words have an empty set and are linked with nothing; their component
 is their own id. Rows without doc_id take no part and have no component. Repeated rows are one
-class.
+class. Rows of one id with different sets are classes as any others; components are named by their
+least id at the end, so two that share it have one name in ``component_id`` and two in ``comp``.
 """
 
 from __future__ import annotations
@@ -134,13 +135,17 @@ def unfolded(signatures: list[bytes]) -> np.ndarray:
     return out
 
 
+def digest(s: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(doc_id, n_shingles, digest, prefix, signature)``: the set's size, its 128-bit digest, its
+    """``(doc_id, text_hash, n_shingles, digest, prefix, signature)``: the set's size, its 128-bit digest, its
     rarest shingles, enough to meet each similar set in one, and its tokens by slot."""
 
     def make():
-        import hashlib
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, digests, prefixes, signatures = [], [], [], []
             for t in texts(batch):
@@ -149,16 +154,16 @@ def signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 if not len(s):
                     digests.append(None), prefixes.append([]), signatures.append(None)
                     continue
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(digest(s))
                 order = np.lexsort((s, levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                 prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64))
                 signatures.append(signature(s))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "prefix", "signature"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "prefix", "signature"])
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, signature binary")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, prefix array<bigint>, signature binary")
 
 
 class _Union:
@@ -295,7 +300,7 @@ def _slots_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Shingles of the representatives, from their texts, beside the other columns of ``reps``.
+    """Shingles of the classes, from texts of their least ids, beside the other columns of ``reps``.
 
     A filter of fixed size, made in the tasks, drops most other documents before anything moves;
     the join decides. A filter that is full lets all pass.
@@ -304,10 +309,10 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << FILTER_BITS, np.uint8)
         for batch in batches:
-            seen[_slots_of(batch.column("rep").to_numpy()).ravel()] = 1
+            seen[_slots_of(batch.column("least").to_numpy()).ravel()] = 1
         yield _own(seen)
 
-    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(_summed(reps.select("rep").mapInArrow(mark, _COUNTS), np.uint8) > 0))
+    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(_summed(reps.select("least").mapInArrow(mark, _COUNTS), np.uint8) > 0))
 
     def make():
         bits = np.unpackbits(seen.value)
@@ -316,12 +321,14 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column("doc_id").is_valid())
             hit = bits[_slots_of(batch.column("doc_id").to_numpy())].all(1) if batch.num_rows else np.zeros(0, bool)
             batch = batch.filter(pa.array(hit.astype(bool)))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], ["doc_id", "shingles"])
+            sets = [shingles(t) for t in texts(batch)]
+            columns = [batch.column("doc_id"), pa.array(map(digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "shingles"])
 
         return work
 
-    found = map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, shingles binary")
-    return found.join(reps, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    found = map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, own binary, shingles binary")
+    return found.join(reps, (F.col("doc_id") == F.col("least")) & (F.col("own") == F.col("digest"))).drop("doc_id", "own", "least", "digest")
 
 
 def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
@@ -360,13 +367,18 @@ def _runs(tokens: DataFrame) -> DataFrame:
 
 def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row a row of ``docs``."""
+    return linked(docs, group, signed_group).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP) -> DataFrame:
+    """What ``join_similar`` gives, with ``text_hash`` and ``comp``, which tells all components apart."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs, sketch(docs)), "similar-rows")
     # Rows of one digest have the same set, so any of them gives the class its prefix and signature.
     own = [F.first(c).alias(c) for c in ("prefix", "signature")]
-    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *own)
-    classes = stage(classes, "similar-classes")
-    reps = classes.drop("digest")
+    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), *own)
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "similar-classes")
+    reps = classes.drop("digest", "least")
     shared = stage(_runs(reps.select("rep", "n", F.explode("prefix").alias("token"))), "similar-shared")
 
     # By signatures.
@@ -380,14 +392,16 @@ def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED
     # By shingles.
     near = components(possible.union(beyond)).withColumnRenamed("id", "rep")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    near = stage(near.join(sizes, "component"), "similar-near")
+    near = stage(near.join(sizes, "component").join(classes.select("rep", "least", "digest"), "rep"), "similar-near")
     sets = stage(_sets(docs, near), "similar-sets")
     links = stage(_linked(sets.where(F.col("n") <= group).withColumn("comp", F.col("rep")), ["component"]), "links")
     large = near.where(F.col("n") > group).select("rep")
     if not large.isEmpty():
         links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep"), sets.where(F.col("n") > group).select("rep", "shingles"), group))
     found = components(links).withColumnRenamed("id", "rep")
-    named = classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = classes.select("digest", "rep", "least").join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    names = named.where("component IS NOT NULL").groupBy("comp").agg(F.min("least").alias("name"))
+    named = named.join(names, "comp", "left").select("digest", "comp", F.coalesce("name", "least").alias("component_id"))
+    joined = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    return joined.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash", "comp")

@@ -77,6 +77,21 @@ def test_similarity(spark, docs, rows):
     assert similarity.join_similar(empty(spark)).count() == 0
 
 
+def test_similarity_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (words(100) for _ in range(3))
+    near = lambda t, k: " ".join([*t.split()[:-k], "other"])
+    rows = [(1, a), (1, b), (2, near(a, 1)), (3, near(b, 1)), (7, c), (7, near(a, 2)), (9, near(c, 1)), (1, near(b, 2))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for group in (2, 512):
+        for order in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+            got = Counter((r.doc_id, r.component_id) for r in similarity.join_similar(order, group).collect())
+            assert got == Counter([(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 1), (7, 7), (9, 7)])
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert len(left) == 3 and {(1, a), (7, c)} < set(left) and set(left) & {(1, b), (1, near(b, 2))}
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix(docs).collect()
     sizes = defaultdict(int)
