@@ -76,7 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     contents = language.fit(docs.where(~held_out("doc_id", 4, 2)))
-    return language.identify(docs.select("doc_id", "text"), contents).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), contents).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -241,6 +241,14 @@ def test_classifiers_on_odd_tables(spark, docs, rows):
         assert len(found) == len(rows) and all(r.lang_pred == "und" for r in found if not re.search(r"[^\W\d_]", r.text or ""))
 
 
+def test_language_rejects_narrow_margins(spark, sf_dir):
+    from granary.llm import registry
+
+    got = registry.op10_language(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
+    assert all(r.rejected == (r.lang_pred == "und" or r.score < language.MARGIN) for r in got)
+    assert 0 < sum(r.rejected and r.lang_pred != "und" for r in got) < 0.05 * len(got)
+
+
 def test_nearest_are_exact(spark):
     import numpy as np
 
