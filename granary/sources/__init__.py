@@ -87,14 +87,18 @@ def read_duckdb(spark: SparkSession, path: str, table_or_select: str) -> DataFra
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Keys, one a line: empty lines go, and of equal lines that follow each other one stays.
 
-    Neighbours are compared within each file split by the position in the file, so nothing is
+    Neighbours are compared within each file split by the position in the file, and a split's first
+    line with the last one of the split before it that isn't empty (one row a split), so nothing is
     sorted globally; ``line_no`` grows with the position and isn't dense.
     """
     rows = spark.read.text(path).select(
-        F.col("value").alias("key"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("line_no"), F.spark_partition_id().alias("_split")
+        F.col("value").alias("key"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("line_no"), F.col("_metadata.file_block_start").alias("_split")
     ).where(F.length("key") > 0)
     order = Window.partitionBy("_file", "_split").orderBy("line_no")
-    return rows.withColumn("_before", F.lag("key").over(order)).where(~F.col("key").eqNullSafe(F.col("_before"))).select("line_no", "key")
+    ends = rows.groupBy("_file", "_split").agg(F.max_by("key", "line_no").alias("_end"))
+    ends = ends.select("_file", "_split", F.lag("_end").over(Window.partitionBy("_file").orderBy("_split")).alias("_end"))
+    joined = rows.join(F.broadcast(ends), ["_file", "_split"])
+    return joined.withColumn("_before", F.coalesce(F.lag("key").over(order), "_end")).where(~F.col("key").eqNullSafe(F.col("_before"))).select("line_no", "key")
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

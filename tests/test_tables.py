@@ -112,3 +112,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert Table.open(spark, str(tmp_path / "u")).data().count() == 10
     with pytest.raises(SystemExit):
         cli.run(spark, ["import", "csv", *where])
+
+
+def test_equal_lines_across_splits(spark, tmp_path):
+    lines = [x for i in range(40) for x in [f"key{i // 7}"] * 5 + [""] * (i % 9)]
+    (tmp_path / "keys").write_text("\n".join(lines))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32")
+    try:
+        got = [r.key for r in read_lines(spark, str(tmp_path / "keys")).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [f"key{i}" for i in range(6)]
