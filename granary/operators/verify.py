@@ -26,5 +26,9 @@ def index_gaps(rows: DataFrame, index: DataFrame, keys: list[str], row_id: str =
     return held.exceptAll(listed).withColumn("side", F.lit("data")).union(listed.exceptAll(held).withColumn("side", F.lit("index")))
 
 
-def word_gaps(df: DataFrame, column: str, words: DataFrame, row_id: str = "row_id") -> DataFrame:
-    return word_rows(df, column, row_id).join(words, ["word", row_id], "left_anti")
+def word_gaps(df: DataFrame, column: str, postings: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Words and rows that are in one of the data and the postings of its words only; empty if whole."""
+    listed = postings.select("word", F.explode(F.sequence("row_start", "row_end")).alias(row_id))
+    held = word_rows(df, column, row_id).select("word", row_id)
+    on = ["word", row_id]
+    return held.join(listed, on, "left_anti").union(listed.join(held, on, "left_anti"))

@@ -454,7 +454,8 @@ def longest_word(spark, d):
 @query("SELECT '' AS word, doc_id FROM documents WHERE 1 = 0")
 def word_index_gaps(spark, d):
     docs = table(spark, d, "documents")
-    return verify.word_gaps(docs, "text", index.word_rows(docs, "text", "doc_id"), "doc_id")
+    built = stage(index.postings(index.word_rows(docs, "text", "doc_id"), ["word"], "doc_id", salts=2), "word-index")
+    return verify.word_gaps(docs, "text", built, "doc_id")
 
 
 # Verification

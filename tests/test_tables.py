@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 
 from granary.functions import keys
-from granary.operators import encode, index
+from granary.operators import encode, index, verify
 from granary.operators.access import DuplicateKeyError
 from granary.operators.rowid import assert_dense, with_row_id
 from granary.plans import cli
@@ -124,3 +124,11 @@ def test_equal_lines_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert got == [f"key{i}" for i in range(6)]
+
+
+def test_word_gaps_are_found(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "two")], "row_id bigint, text string")
+    whole = index.postings(index.word_rows(docs, "text"), ["word"])
+    assert verify.word_gaps(docs, "text", whole).count() == 0
+    wrong = whole.where("word <> 'one '").union(spark.createDataFrame([("x", 9, 9)], "word string, row_start bigint, row_end bigint"))
+    assert sorted(map(tuple, verify.word_gaps(docs, "text", wrong).collect())) == [("one ", 1), ("x", 9)]
