@@ -10,6 +10,7 @@ Null data counts as empty: no type, no parts. Equal bytes give equal results.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import cache
@@ -22,6 +23,8 @@ from granary.llm.common import map_batches, texts
 
 UNIT = 64
 RATE = 8000
+_STARTXREF = re.compile(rb"startxref\s+(\d{1,15})\s")
+_XREF = re.compile(rb"\s*(?:xref\s|\d+\s+\d+\s+obj)")
 
 
 def riff(data: bytes, at: int) -> tuple[str, int] | None:
@@ -97,17 +100,30 @@ def bmp(data: bytes, at: int) -> tuple[str, int] | None:
 
 
 def pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"%%EOF", at)
-    fits = end > 0 and data[at + 5 : at + 6].isdigit() and b"startxref" in data[at:end]
-    return ("application/pdf", end + 5 - at) if fits else None
+    """To the last end mark whose cross-reference offset counts from ``at`` and, behind headers of
+    other documents, lies behind these too; without any, to the last end mark before the next header."""
+    if not data[at + 5 : at + 6].isdigit() or (end := data.rfind(b"%%EOF", at)) < 0:
+        return None
+    while end > 0:
+        start = data.rfind(b"startxref", at, end)
+        known = _STARTXREF.match(data, start, end) if start > 0 else None
+        if known and _XREF.match(data, table := at + int(known[1])) and table < end and not 0 <= table <= data.rfind(b"%PDF-", at + 5, end):
+            return "application/pdf", end + 5 - at
+        end = data.rfind(b"%%EOF", at, end)
+    after = data.find(b"%PDF-", at + 5)
+    end = data.rfind(b"%%EOF", at, after if after > 0 else len(data))
+    return ("application/pdf", end + 5 - at) if end > 0 and b"startxref" in data[at:end] else None
 
 
 def archive(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or len(data) < end + 22 or len(data) < at + 30:
-        return None
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    return ("application/zip", end + 22 + note - at) if at + start + size == end and end + 22 + note <= len(data) else None
+    """To the first end record whose directory counts from ``at``; those of stored archives don't."""
+    end = data.find(b"PK\x05\x06", at + 30)
+    while end > 0 and len(data) >= end + 22:
+        size, start, note = struct.unpack_from("<IIH", data, end + 12)
+        if at + start + size == end and end + 22 + note <= len(data):
+            return "application/zip", end + 22 + note - at
+        end = data.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def gzip(data: bytes, at: int) -> tuple[str, int] | None:
@@ -123,18 +139,107 @@ def gzip(data: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(here, len(data)) - at - len(z.unused_data)) if z.eof else None
 
 
-def flac(data: bytes, at: int) -> tuple[str, int] | None:
-    here, first = at + 4, True
-    while here + 4 <= len(data):
-        kind, n = data[here], int.from_bytes(data[here + 1 : here + 4], "big")
-        if first and (kind & 127 or n != 34) or here + 4 + n > len(data):
+def _crc(data: bytes, poly: int, bits: int) -> int:
+    crc, top = 0, bits - 8
+    for b in data:
+        crc = crc << 8 & (1 << bits) - 1 ^ _crc_table(poly, bits)[crc >> top ^ b]
+    return crc
+
+
+@cache
+def _crc_table(poly: int, bits: int) -> list[int]:
+    table = []
+    for b in range(256):
+        crc = b << bits - 8
+        for _ in range(8):
+            crc = crc << 1 ^ (poly if crc >> bits - 1 else 0)
+            crc &= (1 << bits) - 1
+        table.append(crc)
+    return table
+
+
+def _subframe_end(bits: str, at: int, block: int, width: int) -> int:
+    """Where a FLAC subframe ends; ValueError if it can't be read to there."""
+    kind, wasted = int(bits[at : at + 7], 2), bits[at + 7] == "1"
+    at += 8
+    if wasted:
+        one = bits.index("1", at)
+        width, at = width - (one - at + 1), one + 1
+    if kind < 2:
+        return at + width * (block if kind else 1)
+    if not (8 <= kind <= 12 or 32 <= kind <= 63):
+        raise ValueError("reserved subframe")
+    order = kind - 8 if kind <= 12 else kind - 31
+    at += order * width
+    if kind >= 32:
+        at += 9 + order * (int(bits[at : at + 4], 2) + 1)
+    method, parts = int(bits[at : at + 2], 2), int(bits[at + 2 : at + 6], 2)
+    at += 6
+    if method > 1 or (block >> parts) < order or block % (1 << parts):
+        raise ValueError("reserved residual")
+    for part in range(1 << parts):
+        n, long = (block >> parts) - (0 if part else order), 4 + method
+        rice = int(bits[at : at + long], 2)
+        at += long
+        if rice == (1 << long) - 1:
+            at += 5 + n * int(bits[at : at + 5], 2)
+        else:
+            for _ in range(n):
+                at = bits.index("1", at) + 1 + rice
+    return at
+
+
+def _flac_frame(data: bytes, at: int, width: int) -> tuple[int, int] | None:
+    """End and samples of a FLAC frame, with both its checksums right."""
+    try:
+        if data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
+            return None
+        code, rate, channels, depth = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, data[at + 3] >> 1 & 7
+        here = at + 5 + max(0, 7 - (data[at + 4] ^ 255).bit_length())
+        more = {6: 1, 7: 2}.get(code, 0)
+        block = int.from_bytes(data[here : here + more], "big") + 1 if more else 192 if code == 1 else 576 << code - 2 if 2 <= code <= 5 else 256 << code - 8 if code else 0
+        here += more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+        width = (width, 8, 12, 0, 16, 20, 24, 32)[depth]
+        if not block or not width or channels > 10 or rate == 15 or _crc(data[at:here], 7, 8) != data[here]:
             return None
-        here, first = here + 4 + n, False
-        if kind & 128:
-            return "audio/flac", len(data) - at
+    except IndexError:
+        return None
+    here += 1
+    widths = [width] * (channels + 1) if channels < 8 else [width + (channels == 9), width + (channels != 9)]
+    for most in (64 + block * sum(widths) // 4, len(data)):
+        raw = data[here : here + most]
+        bits, end = f"{int.from_bytes(raw, 'big'):0{8 * len(raw)}b}", 0
+        try:
+            for w in widths:
+                end = _subframe_end(bits, end, block, w)
+        except (ValueError, IndexError):
+            continue
+        close = here + -(-end // 8) + 2
+        if close <= len(data) and _crc(data[at:close], 0x8005, 16) == 0:
+            return close, block
     return None
 
 
+def flac(data: bytes, at: int) -> tuple[str, int] | None:
+    """Frames are read to as many samples as the head says, or to the last one if it doesn't say."""
+    here, last = at + 4, 0
+    while not last:
+        if here + 4 > len(data):
+            return None
+        last, kind, n = data[here] & 128, data[here] & 127, int.from_bytes(data[here + 1 : here + 4], "big")
+        if here == at + 4 and (kind or n != 34) or here + 4 + n > len(data):
+            return None
+        here += 4 + n
+    head = int.from_bytes(data[at + 18 : at + 26], "big")
+    width, total, samples = (head >> 36 & 31) + 1, head & (1 << 36) - 1, 0
+    while not total or samples < total:
+        frame = _flac_frame(data, here, width)
+        if not frame:
+            return None if total else ("audio/flac", here - at)
+        here, samples = frame[0], samples + frame[1]
+    return "audio/flac", here - at
+
+
 # Magic bytes and the validator of each.
 MAGIC = {
     b"RIFF": riff, b"\x89PNG\r\n\x1a\n": png, b"GIF87a": gif, b"GIF89a": gif, b"\xff\xd8\xff": jpeg, b"BM": bmp,

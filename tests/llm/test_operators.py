@@ -195,6 +195,68 @@ def test_media(spark, docs, rows):
     assert [(r.media_type, r.corrected) for r in media.sniff(wrong, declared="said").collect()] == [("image/png", True), (None, False)]
 
 
+def flac_of(total, frames):
+    """A mono 16-bit FLAC stream; a frame is its number of samples and the bits of its subframe."""
+
+    def crc(data, poly, bits):
+        r = 0
+        for b in data:
+            r ^= b << bits - 8
+            for _ in range(8):
+                r = (r << 1 ^ (poly if r >> bits - 1 & 1 else 0)) & (1 << bits) - 1
+        return r
+
+    out = b"fLaC\x80\x00\x00\x22" + bytes(10) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    for k, (n, bits) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x70, 0x08]) + chr(k).encode() + (n - 1).to_bytes(2, "big")
+        bits += "0" * (-len(bits) % 8)
+        frame = head + bytes([crc(head, 7, 8)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        out += frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def test_media_lengths():
+    import io
+    import zipfile
+
+    verbatim = "00000010" + "".join(f"{RND.randrange(1 << 16):016b}" for _ in range(300))
+    rice = "00010010" + f"{7:016b}" + "00" + "0001" + "".join("0101" + "".join("0" * RND.randrange(9) + "1" + f"{RND.randrange(32):05b}" for _ in range(n)) for n in (99, 100))
+    wasted = "00000001" + "001" + f"{5:013b}"
+    frames = [(300, verbatim), (200, rice), (64, wasted)] + [(200, rice)] * 140
+    head = b"\x89PNG\r\n\x1a\n"
+    import struct
+    import zlib
+
+    png = head + struct.pack(">I4sI", 0, b"IEND", zlib.crc32(b"IEND"))
+    for total in (sum(n for n, _ in frames), 0):
+        tune = flac_of(total, frames)
+        assert media.signatures(b"noise" + tune + b"tail" + png) == [("audio/flac", 5, len(tune)), ("image/png", 9 + len(tune), len(png))]
+    assert media.signatures(flac_of(564, frames[:2])) == []
+
+    def pdf(body, updates):
+        out = b"%PDF-1.7\n" + body
+        for _ in range(updates):
+            at = len(out)
+            out += b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % at + b"\n"
+        return out.rstrip()
+
+    one, two = pdf(b"text\n", 3), pdf(b"text\n", 1)
+    linear = b"%PDF-1.7\nxref\n0 1\nstartxref\n0\n%%EOF\nbody\nstartxref\n9\n%%EOF"
+    outer = pdf(b"stream\n" + two + b"\nendstream\n", 1)
+    for x in (one, two, linear, outer):
+        assert media.signatures(b"noise" + x + b"  " + one) == [("application/pdf", 5, len(x)), ("application/pdf", 7 + len(x), len(one))]
+
+    def zipped(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    stored = zipped("a.zip", zipped("b", b"hello"))
+    assert media.signatures(stored)[0] == ("application/zip", 0, len(stored))
+    assert media.signatures(b"x" + stored + stored) == [("application/zip", 1, len(stored)), ("application/zip", 1 + len(stored), len(stored))]
+
+
 def test_chat(spark):
     said = ["hi", "</s>[INST] ok [/INST]", "a\\b <\\s> \\\\", "", None, "[/ROLE]<s>", "<</SYS>>[", words(300), words(3000)]
     rows = [(c, t, RND.choice(["user", "assistant", "system", None, "tool"]), RND.choice(said)) for c in (1, 2, None) for t in range(60)]
