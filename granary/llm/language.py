@@ -23,8 +23,8 @@ from granary.llm.common import map_batches
 SAMPLE_DOCS, SAMPLE_CHARS, BLOCK_BYTES, LEVEL = 64, 2000, 1024, 6
 #: Texts of so few bytes are encoded at a higher level, as one byte decides there.
 SHORT_BYTES, SHORT_LEVEL = 400, 12
-#: Languages with their own dictionary at most: those with the most documents.
-MOST_LANGUAGES = 400
+#: Languages whose dictionaries stay in a worker's memory; those beyond are made anew for each batch.
+KEPT_LANGUAGES = 64
 #: Margin under which a prediction is rejected, by threefold cross-validation within rows that aren't held out.
 MARGIN = 0.02
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,28 +42,45 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     key = F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample"))
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(SAMPLE_DOCS)).alias("_slot"), key.alias("_key"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"))
     taken = rows.groupBy("_lang", "_slot").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_text")).alias("_least"))
-    largest = taken.groupBy("_lang").agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list("_least")).alias("_texts")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
-    return {r["_lang"]: "".join(folded(x["_text"]) for x in r["_texts"]).encode() for r in sorted(largest.collect(), key=lambda r: r["_lang"])}
+    listed = taken.groupBy("_lang").agg(F.sort_array(F.collect_list("_least")).alias("_texts"))
+    return {r["_lang"]: "".join(folded(x["_text"]) for x in r["_texts"]).encode() for r in sorted(listed.collect(), key=lambda r: r["_lang"])}
 
 
 class Model:
     def __init__(self, contents: dict[str, bytes]):
+        self.contents, self.langs, self.kept = contents, sorted(contents), {}
+
+    def coder(self, i: int, level: int):
         import zstandard
 
-        self.langs = sorted(contents)
-        self.coders, self.fine = [], []
-        for lang in self.langs:
-            for level, coders in ((LEVEL, self.coders), (SHORT_LEVEL, self.fine)):
-                d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        if (i, level) in self.kept:
+            return self.kept[i, level]
+        d = zstandard.ZstdCompressionDict(self.contents[self.langs[i]], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        made = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        if i < KEPT_LANGUAGES:
+            self.kept[i, level] = made
+        return made
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        raw = folded(text or "").encode()
-        if not raw or not self.langs:
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """One language after the other over all texts, so that memory doesn't grow with languages."""
+        raws = [folded(t or "").encode() for t in texts]
+        blocks = [[raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)] for raw in raws]
+        levels = [SHORT_LEVEL if len(raw) <= SHORT_BYTES else LEVEL for raw in raws]
+        sizes: list[list[int]] = [[] for _ in raws]
+        for i in range(len(self.langs)):
+            coders = {level: self.coder(i, level) for level in set(levels)}
+            for own, bs, level in zip(sizes, blocks, levels, strict=True):
+                if bs:
+                    own.append(sum(len(coders[level].compress(b)) for b in bs))
+        return [self._best(own) for own in sizes]
+
+    def _best(self, sizes: list[int]) -> tuple[str, float]:
+        if not sizes:
             return "und", 0.0
-        blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        sizes = [sum(len(c.compress(b)) for b in blocks) for c in (self.fine if len(raw) <= SHORT_BYTES else self.coders)]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
         return self.langs[best], min(1.0, (rest - sizes[best]) / max(rest, 1))
@@ -79,7 +96,7 @@ def identify(df: DataFrame, contents: dict[str, bytes], text: str = "text", min_
         model = Model(contents)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [model.predict(t) for t in batch.column(text).to_pylist()]
+            got = model.predict_all(batch.column(text).to_pylist())
             columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < min_margin for g in got], pa.bool_())]
             return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score", "rejected"])
 

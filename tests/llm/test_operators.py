@@ -311,6 +311,15 @@ def test_language_rejects_narrow_margins(spark, sf_dir):
     assert 0 < sum(r.rejected and r.lang_pred != "und" for r in got) < 0.05 * len(got)
 
 
+def test_every_language_has_its_dictionary(spark):
+    rows = [(i, " ".join(f"{a}{b}{c}" for c in "xyzuvw" for _ in range(3)), f"l{i:03}") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstu" for b in "abcdefghijklmnopqrst")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    contents = language.fit(docs)
+    assert len(contents) == len(rows) == 420
+    model = language.Model(contents)
+    assert model.predict(rows[-1][1])[0] == "l419" and len(model.kept) <= 2 * language.KEPT_LANGUAGES
+
+
 def test_nearest_are_exact(spark):
     import numpy as np
 
