@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.words import Splitter, tokens
 
+#: Row ids of a slice; no task holds more rows of one value than a slice has.
+SLICE_ROWS = 1 << 20
+#: Row ids of the pieces that a range is cut into before it's listed, from the coarsest on.
+PIECES = (1 << 32, 1 << 16)
 
-def postings(df: DataFrame, keys: list[str], row_id: str = "row_id", salts: int = 1) -> DataFrame:
+
+def postings(df: DataFrame, keys: list[str], row_id: str = "row_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Ranges of consecutive row ids for each value: ``(keys, row_start, row_end)``.
 
-    With ``salts`` above 1 a value's rows are dealt over contiguous slices of row ids before the
-    window, and ranges that touch at a slice's edge are merged after; frequent values then never
-    meet in one task as single rows.
+    A value's rows are dealt over contiguous slices of row ids, so a frequent value never meets in
+    one task. Of a slice only the ranges that touch its edges, two at most, are looked at again to
+    be joined with those of the slices beside it.
     """
-    if salts == 1:
-        return _islands(df.select(*keys, F.col(row_id).alias("row_start"), F.col(row_id).alias("row_end")), keys)
-    span = 1 << 20
-    sliced = df.select(*keys, F.col(row_id).alias("row_start"), F.col(row_id).alias("row_end"), F.floor(F.col(row_id) / span).alias("_slice"))
-    return _islands(_islands(sliced, [*keys, "_slice"]).drop("_slice"), keys)
+    at = F.col(row_id).cast("bigint")
+    sliced = df.select(*keys, at.alias("row_start"), at.alias("row_end"), F.floor(at / slice_rows).alias("_slice"))
+    ranges = _islands(sliced, [*keys, "_slice"])
+    edge = (F.col("row_start") == F.col("_slice") * slice_rows) | (F.col("row_end") == (F.col("_slice") + 1) * slice_rows - 1)
+    inner = ranges.where(~edge).drop("_slice")
+    return inner.unionByName(_islands(ranges.where(edge).drop("_slice"), keys))
 
 
 def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,9 +35,24 @@ def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "_run").agg(F.min("row_start").alias("row_start"), F.max("row_end").alias("row_end")).drop("_run")
 
 
+def listed(index: DataFrame, keys: list[str], row_id: str = "row_id", pieces: tuple[int, ...] = PIECES) -> DataFrame:
+    """``(keys, row_id)`` of postings. Ranges are cut at multiples of the piece sizes first, so no
+    array is longer than the next size has pieces, however long a range is."""
+    rows = index.select(*keys, "row_start", "row_end")
+    for size in pieces:
+        piece = F.explode(F.sequence(_floor("row_start", size), _floor("row_end", size))).alias("_piece")
+        rows = rows.select(*keys, "row_start", "row_end", piece)
+        rows = rows.select(*keys, F.greatest("row_start", F.col("_piece") * size).alias("row_start"), F.least("row_end", (F.col("_piece") + 1) * size - 1).alias("row_end"))
+    return rows.select(*keys, F.explode(F.sequence("row_start", "row_end")).alias(row_id))
+
+
+def _floor(column: str, size: int) -> Column:
+    return F.floor(F.col(column) / size).cast("bigint")
+
+
 def expand(index: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Row ids of postings, each once."""
-    return index.select(F.explode(F.sequence("row_start", "row_end")).alias(row_id)).distinct()
+    return listed(index, [], row_id).distinct()
 
 
 def coarse(df: DataFrame, keys: list[str], shift: int, row_id: str = "row_id") -> DataFrame:
