@@ -37,7 +37,22 @@ def bytes_needed(value: Column) -> Column:
     return F.ceil(bits_needed(value) / 8).cast("int")
 
 
-def decimal_scale(value: Column, most: int = 15) -> Column:
-    """Decimal digits after the point in the shortest text of a double."""
-    plain = F.format_string("%s", F.abs(value).cast(f"decimal(38,{most})").cast("string"))
-    return F.length(F.regexp_replace(F.regexp_extract(plain, r"\.(\d*)$", 1), "0+$", "")).cast("int")
+def decimal_scale(value: Column) -> Column:
+    """Decimal digits after the point in the shortest text of a double; NULL for what isn't finite."""
+    text = F.abs(value).cast("string")
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.length(F.regexp_replace(F.regexp_extract(text, r"\.(\d*)", 1), "0+$", ""))
+    return F.when(F.abs(value) < float("inf"), F.greatest(digits - exponent, F.lit(0))).cast("int")
+
+
+def power_of_ten(places: Column, most: int = 15) -> Column:
+    """Exact powers from 0 to ``most``; NULL beyond."""
+    return F.get(F.array(*[F.lit(float(10**k)) for k in range(most + 1)]), places)
+
+
+def scaled_integer(value: Column, places: Column) -> Column:
+    """``value`` times a power of ten as an integer, if that gives the value back exactly and fits
+    in 54 bits and a sign; else NULL."""
+    power = power_of_ten(places)
+    whole = F.rint(value * power).try_cast("bigint")
+    return F.when((F.abs(whole) < 1 << 54) & (whole / power == value), whole)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.scalar import decimal_scale, power_of_ten, scaled_integer
+from granary.functions.words import Splitter, join_tokens, tokens
 from granary.operators.rowid import block_of, with_row_id
 
 
@@ -70,3 +72,52 @@ def frame_decode(encoded: DataFrame, column: str) -> DataFrame:
 
 def block_sums(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(block_of(F.col("row_id")).alias("block")).agg(F.sum(column).alias("total"), F.count(column).alias("n"))
+
+
+def decimal_blocks(df: DataFrame, column: str) -> DataFrame:
+    """``(row_id, block, places, scaled, raw)``: doubles as integers at the largest number of decimal
+    places in their block; values that this doesn't give back exactly are exceptions and stay raw."""
+    rows = df.select("row_id", F.col(column).alias("_v"), block_of(F.col("row_id")).alias("block"))
+    own = decimal_scale(F.col("_v"))
+    usable = F.when(scaled_integer(F.col("_v"), own).isNotNull(), own)
+    placed = rows.withColumn("_own", usable).withColumn("places", F.coalesce(F.max("_own").over(Window.partitionBy("block")), F.lit(0)))
+    scaled = placed.withColumn("scaled", scaled_integer(F.col("_v"), F.col("places")))
+    return scaled.select("row_id", "block", "places", "scaled", F.when(F.col("scaled").isNull(), F.col("_v")).alias("raw"))
+
+
+def decimal_blocks_decode(encoded: DataFrame, column: str) -> DataFrame:
+    return encoded.select("row_id", F.coalesce(F.col("scaled") / power_of_ten(F.col("places")), "raw").alias(column))
+
+
+def word_dictionary(df: DataFrame, column: str, splitter: Splitter = tokens) -> DataFrame:
+    """``(value, freq, code)`` of the tokens of a column."""
+    return dictionary(df.select(F.explode(splitter(F.col(column))).alias("token")), "token")
+
+
+def word_encode(df: DataFrame, column: str, codes: DataFrame, splitter: Splitter = tokens) -> DataFrame:
+    """``(row_id, refs)``: each row as the codes of its tokens in order; a NULL text has NULL."""
+    parts = df.select("row_id", splitter(F.col(column)).alias("_parts"))
+    at = parts.select("row_id", F.posexplode("_parts").alias("_pos", "_token"))
+    coded = at.join(codes.select(F.col("value").alias("_token"), "code"), "_token")
+    found = coded.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "code"))).alias("_refs"))
+    joined = parts.select("row_id", F.size("_parts").alias("_size")).join(found, "row_id", "left")
+    refs = F.when(F.col("_size") > 0, F.transform("_refs", lambda r: r["code"])).when(F.col("_size") == 0, F.array().cast("array<bigint>"))
+    return joined.select("row_id", refs.alias("refs"))
+
+
+def word_decode(encoded: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    at = encoded.select("row_id", F.posexplode("refs").alias("_pos", "code"))
+    found = at.join(codes.select("code", "value"), "code").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "value"))).alias("_parts"))
+    whole = join_tokens(F.transform("_parts", lambda r: r["value"]))
+    joined = encoded.join(found, "row_id", "left")
+    return joined.select("row_id", F.when(F.size("refs") > 0, whole).when(F.size("refs") == 0, "").alias(column))
+
+
+def raw_store(value: Column) -> Column:
+    """A text or binary value as its length in four bytes, most significant first, and its bytes."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(value)), 8, "0")), value.cast("binary"))
+
+
+def raw_load(stored: Column) -> Column:
+    size = F.conv(F.hex(F.substring(stored, 1, 4)), 16, 10).cast("int")
+    return F.substring(stored, F.lit(5), size)
