@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from granary.functions import keys, scalar, words
 from granary.operators import access, encode, index, stats, verify
 from granary.operators.rowid import block_of, with_row_id
-from granary.session import stage
+from granary.session import shared_dir, stage
+from granary.sources import sinks
+from granary.streaming import import_stream, typed_stream
 from granary.types import format_datetime, parse_datetime, stored_integer, truncate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +117,15 @@ def integer_key_order(spark, d):
     return with_row_id(table(spark, d, "conversations").select("conv_id", "turn", key.alias("key")), ["key"], "position").drop("key")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY value - 30, ts, event_id) - 1 AS position, value - 30 AS value_back, ts AS ts_back, CAST(ts AS DATE) AS day_back FROM events")
+def composite_key_mixed(spark, d):
+    """Positions by the bytes of a key of a double with either sign, a time, a date and an integer, and its parts."""
+    parts = [(F.col("value") - 30, "."), (F.col("ts"), "e"), (F.col("ts").cast("date"), "b"), (F.col("event_id"), "i")]
+    found = with_row_id(table(spark, d, "events").select("event_id", keys.key_bytes(parts).alias("key")), ["key"], "position")
+    back = [keys.key_part(F.col("key"), ".ebi", i).alias(n) for i, n in enumerate(("value_back", "ts_back", "day_back"))]
+    return found.select("event_id", "position", *back)
+
+
 @query("SELECT count(*) AS row_count, count(DISTINCT c_custkey) AS key_count, max(strlen(c_name)) AS max_c_name_len FROM customer")
 def key_counts(spark, d):
     return access.table_counts(table(spark, d, "customer"), ["c_custkey"], ["c_name"])
@@ -178,11 +190,19 @@ def column_totals(spark, d):
     return stats.totals(table(spark, d, "orders"), ["o_custkey", "o_totalprice", "o_orderpriority"])
 
 
-@query("""SELECT 'c_custkey' AS column_name, count(*) - count(c_custkey) AS null_count, min(c_custkey)::DOUBLE AS min_value, max(c_custkey)::DOUBLE AS max_value, max(strlen(c_custkey::VARCHAR)) AS max_len FROM customer
-UNION ALL SELECT 'c_name', count(*) - count(c_name), min(strlen(c_name))::DOUBLE, max(strlen(c_name))::DOUBLE, max(strlen(c_name)) FROM customer
-UNION ALL SELECT 'c_mktsegment', count(*) - count(c_mktsegment), min(strlen(c_mktsegment))::DOUBLE, max(strlen(c_mktsegment))::DOUBLE, max(strlen(c_mktsegment)) FROM customer""")
+@query("""SELECT 'c_custkey' AS column_name, count(*) - count(c_custkey) AS null_count, min(c_custkey) AS min_int, max(c_custkey) AS max_int, NULL::DOUBLE AS min_double, NULL::DOUBLE AS max_double, max(strlen(c_custkey::VARCHAR)) AS max_len FROM customer
+UNION ALL SELECT 'c_name', count(*) - count(c_name), min(strlen(c_name)), max(strlen(c_name)), NULL, NULL, max(strlen(c_name)) FROM customer
+UNION ALL SELECT 'c_nationkey', count(*) - count(c_nationkey), min(c_nationkey), max(c_nationkey), NULL, NULL, max(strlen(c_nationkey::VARCHAR)) FROM customer
+UNION ALL SELECT 'half', 0, NULL, NULL, min(c_custkey / 2), max(c_custkey / 2), max(strlen((c_custkey / 2)::VARCHAR)) FROM customer""")
 def column_stats(spark, d):
-    return stats.column_stats(table(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", (F.col("c_custkey") / 2).alias("half"))
+    return stats.column_stats(rows)
+
+
+@query("""SELECT 'big' AS column_name, 0::BIGINT AS null_count, min(9007199254740993 + o_orderkey) AS min_int, max(9007199254740993 + o_orderkey) AS max_int, NULL::DOUBLE AS min_double, NULL::DOUBLE AS max_double, 16::BIGINT AS max_len FROM orders""")
+def stats_of_large_integers(spark, d):
+    """Integers that doubles can't tell apart."""
+    return stats.column_stats(table(spark, d, "orders").select((F.col("o_orderkey") + 9007199254740993).alias("big")))
 
 
 @query("SELECT min(c_acctbal) AS min_value, max(c_acctbal) AS max_value, count(*) - count(c_acctbal) AS null_count FROM customer")
@@ -200,9 +220,36 @@ def max_value_length(spark, d):
     return table(spark, d, "documents").agg(F.max(scalar.byte_length(F.col("text"))).cast("bigint").alias("max_len"))
 
 
-@query("SELECT event_id, props FROM events WHERE props IS NULL OR value IS NULL")
+PLANTED = "(SELECT event_id, nullif(event_type, 'error') AS event_type, CASE WHEN user_id % 7 = 0 THEN NULL ELSE value END AS value, CASE WHEN user_id % 5 = 0 THEN '' WHEN user_id % 5 = 1 THEN NULL ELSE props END AS props FROM events)"
+
+
+def planted(spark, d):
+    """Events with NULLs and empty texts, which the tables have none of."""
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    value = F.when(F.col("user_id") % 7 != 0, F.col("value"))
+    props = F.when(F.col("user_id") % 5 == 0, "").when(F.col("user_id") % 5 != 1, F.col("props"))
+    return table(spark, d, "events").select("event_id", kind.alias("event_type"), value.alias("value"), props.alias("props"))
+
+
+@query(f"SELECT event_id, event_type, value FROM {PLANTED} WHERE event_type IS NULL OR value IS NULL")
 def null_rows(spark, d):
-    return table(spark, d, "events").where(F.col("props").isNull() | F.col("value").isNull()).select("event_id", "props")
+    return planted(spark, d).where(F.col("event_type").isNull() | F.col("value").isNull()).select("event_id", "event_type", "value")
+
+
+@query(f"""SELECT 'event_type' AS column_name, count(*) FILTER (event_type IS NULL) AS nulls, 0::BIGINT AS empties, 0::BIGINT AS lost_nulls, 0::BIGINT AS lost_empties FROM {PLANTED}
+UNION ALL SELECT 'value', count(*) FILTER (value IS NULL), 0, 0, 0 FROM {PLANTED}
+UNION ALL SELECT 'props', count(*) FILTER (props IS NULL), count(*) FILTER (props = ''), 0, 0 FROM {PLANTED}""")
+def verify_null_and_empty(spark, d):
+    """NULL and empty cells that come back from a stored table as they were."""
+    rows = planted(spark, d)
+    return verify.null_and_empty(rows, stage(rows, "nulls"), ["event_id"], ["event_type", "value", "props"])
+
+
+@query(f"""SELECT 'props' AS column_name, count(*) FILTER (props IS NULL) AS nulls, count(*) FILTER (props = '') AS empties, count(*) FILTER (props IS NULL) AS lost_nulls, 0::BIGINT AS lost_empties FROM {PLANTED}""")
+def verify_finds_lost_nulls(spark, d):
+    """A store that makes empty texts of NULLs."""
+    rows = planted(spark, d)
+    return verify.null_and_empty(rows, rows.withColumn("props", F.coalesce("props", F.lit(""))), ["event_id"], ["props"])
 
 
 @query("SELECT p_brand, count(DISTINCT p_type) AS n_types FROM part GROUP BY p_brand")
@@ -301,6 +348,34 @@ def decimal_scale(spark, d):
     return table(spark, d, "customer").select("c_custkey", scalar.decimal_scale(F.col("c_acctbal")).alias("decimals"))
 
 
+SCALES = """(SELECT *, trunc(o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 10 END) / CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 10 END + CASE WHEN o_orderkey % 50 = 0 THEN 1e18 ELSE 0 END AS v FROM orders)"""
+DIGITS = "CASE WHEN v < 1e15 THEN length(regexp_extract(rtrim(CAST(v AS VARCHAR), '0'), '\\.(\\d*)$', 1)) END"
+
+
+def scaled_prices(spark, d):
+    """Prices with no or one decimal, and some too large to be scaled."""
+    some = F.col("o_orderkey") % 3 == 0
+    cut = F.when(some, truncate(F.col("o_totalprice"), 0)).otherwise(truncate(F.col("o_totalprice"), 1))
+    return with_row_id(table(spark, d, "orders").select("o_orderkey", (cut + F.when(F.col("o_orderkey") % 50 == 0, 1e18).otherwise(0.0)).alias("v")), ["o_orderkey"])
+
+
+@query(f"""WITH r AS (SELECT row_id, row_id // 64 AS block, v, coalesce(max(places) OVER (PARTITION BY row_id // 64), 0) AS places FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, v, {DIGITS} AS places FROM {SCALES}))
+SELECT row_id, block, places::INTEGER AS places, CASE WHEN v < 1e15 THEN CAST(round(v * 10 ** places) AS BIGINT) END AS scaled, CASE WHEN v >= 1e15 THEN v END AS raw FROM r""")
+def decimal_blocks(spark, d):
+    return encode.decimal_blocks(scaled_prices(spark, d), "v")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, v FROM {SCALES}")
+def decimal_blocks_roundtrip(spark, d):
+    return encode.decimal_blocks_decode(encode.decimal_blocks(scaled_prices(spark, d), "v"), "v")
+
+
+@query("SELECT p_partkey, printf('%08X', strlen(p_name)) || hex(p_name) AS stored, p_name AS back FROM part")
+def raw_store(spark, d):
+    stored = encode.raw_store(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.hex(stored).alias("stored"), encode.raw_load(stored).cast("string").alias("back"))
+
+
 # Dates and scalars
 
 
@@ -369,9 +444,18 @@ def twoway_postings(spark, d):
     return index.postings(part_rows(spark, d), ["p_brand"])
 
 
-@query(islands("p_brand", PART_ROWS))
-def twoway_postings_salted(spark, d):
-    return index.postings(part_rows(spark, d), ["p_brand"], salts=2)
+@query(islands("o_orderstatus", "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders)"))
+def twoway_postings_sliced(spark, d):
+    """Postings of frequent values over many slices of row ids."""
+    return index.postings(numbered(spark, d, "orders", ["o_orderkey"], ["o_orderstatus"]), ["o_orderstatus"], slice_rows=256)
+
+
+@query(f"SELECT p_size, row_id, CASE WHEN p_size = 7 THEN 'data' ELSE 'index' END AS side FROM (SELECT p_size, row_id FROM {PART_ROWS} WHERE p_size = 7 UNION ALL SELECT 99, 5)")
+def index_gaps_found(spark, d):
+    """An index that lacks a value and has one too many."""
+    rows = part_rows(spark, d)
+    extra = spark.createDataFrame([(99, 5, 5)], "p_size int, row_start bigint, row_end bigint")
+    return verify.index_gaps(rows, index.postings(rows, ["p_size"]).where("p_size <> 7").unionByName(extra), ["p_size"])
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
@@ -430,7 +514,7 @@ def word_frequency(spark, d):
 @query(islands("word", f"(SELECT DISTINCT doc_id AS row_id, unnest({TOKENS}) AS word FROM documents)"))
 def word_postings(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return index.postings(index.word_rows(docs, "text"), ["word"], salts=2)
+    return index.postings(index.word_rows(docs, "text"), ["word"])
 
 
 @query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE starts_with(word, 'the')")
@@ -454,10 +538,39 @@ def longest_word(spark, d):
 @query("SELECT '' AS word, doc_id FROM documents WHERE 1 = 0")
 def word_index_gaps(spark, d):
     docs = table(spark, d, "documents")
-    built = stage(index.postings(index.word_rows(docs, "text", "doc_id"), ["word"], "doc_id", salts=2), "word-index")
+    built = stage(index.postings(index.word_rows(docs, "text", "doc_id"), ["word"], "doc_id"), "word-index")
     return verify.word_gaps(docs, "text", built, "doc_id")
 
 
+@query(f"""SELECT DISTINCT word, doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE starts_with(word, 'an')""")
+def word_index_gaps_found(spark, d):
+    """A word index without the words that start with two letters."""
+    docs = table(spark, d, "documents")
+    built = stage(index.postings(index.word_rows(docs, "text", "doc_id"), ["word"], "doc_id").where(~F.col("word").startswith("an")), "word-index")
+    return verify.word_gaps(docs, "text", built, "doc_id")
+
+
+WORD_CODES = f"(SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS code FROM (SELECT unnest({TOKENS}) AS word FROM documents) GROUP BY word)"
+
+
+def word_rows_and_codes(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return docs, stage(encode.word_dictionary(docs, "text"), "word-codes")
+
+
+@query(f"""SELECT doc_id AS row_id, string_agg(code::VARCHAR, ',' ORDER BY pos) AS refs FROM (SELECT doc_id, unnest({TOKENS}) AS word, generate_subscripts({TOKENS}, 1) AS pos FROM documents) JOIN {WORD_CODES} USING (word) GROUP BY doc_id""")
+def word_refs(spark, d):
+    """Texts as the codes of their tokens, in order."""
+    docs, codes = word_rows_and_codes(spark, d)
+    return encode.word_encode(docs, "text", codes).select("row_id", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("refs"))
+
+
+@query("SELECT doc_id AS row_id, text FROM documents")
+def word_refs_roundtrip(spark, d):
+    docs, codes = word_rows_and_codes(spark, d)
+    return encode.word_decode(stage(encode.word_encode(docs, "text", codes), "word-refs"), codes, "text")
+
+
 # Verification
 
 
@@ -576,6 +689,99 @@ def delegated_scalar_having(spark, d):
     return table(spark, d, "orders").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE json_extract_string(props, '$') IS NOT NULL GROUP BY event_type")
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most
+FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 10 AND json_extract_string(props, '$.none') IS NULL GROUP BY event_type""")
 def delegated_json(spark, d):
-    return table(spark, d, "events").where(F.get_json_object("props", "$").isNotNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = table(spark, d, "events").where((k > 10) & F.get_json_object("props", "$.none").isNull())
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
+def delegated_left_join(spark, d):
+    finished = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return table(spark, d, "customer").join(finished, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT s_suppkey, s_acctbal, n_nationkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 0")
+def delegated_right_join(spark, d):
+    rich = table(spark, d, "supplier").where("s_acctbal > 0")
+    return rich.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_suppkey", "s_acctbal", "n_nationkey", "n_name")
+
+
+@query("SELECT l_partkey AS k FROM lineitem EXCEPT ALL SELECT p_partkey FROM part")
+def delegated_except_all(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).exceptAll(table(spark, d, "part").select("p_partkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def delegated_intersect_all(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("""SELECT o_custkey, o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice, 2) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def delegated_lag_lead(spark, d):
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lag("o_totalprice").over(order).alias("before"), F.lead("o_totalprice", 2).over(order).alias("after"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rows_seen, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS around,
+max(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS most FROM events""")
+def delegated_frames(spark, d):
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("event_id", F.count(F.lit(1)).over(order.rowsBetween(-2, 0)).alias("rows_seen"), F.round(F.sum("value").over(order.rowsBetween(-2, 1)), 2).alias("around"), F.max("value").over(order.rangeBetween(-100, 0)).alias("most"))
+
+
+# Tables in other formats, and streams
+
+
+def made_as(spark, d, form, compression):
+    """Orders as a table made by a SELECT in a format and codec; only its files stay."""
+    name, path = f"granary_{uuid.uuid4().hex}", f"{shared_dir(spark)}/ctas-{uuid.uuid4().hex}"
+    table(spark, d, "orders").createOrReplaceTempView("granary_orders")
+    made = sinks.create_table_as(spark, name, "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM granary_orders WHERE o_orderstatus <> 'P'", form, path, compression)
+    schema = made.schema
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.format(form).schema(schema).load(path)
+
+
+CTAS = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus <> 'P'"
+
+
+@query(CTAS)
+def ctas_orc_zlib(spark, d):
+    return made_as(spark, d, "orc", "zlib")
+
+
+@query(CTAS)
+def ctas_orc_zstd(spark, d):
+    return made_as(spark, d, "orc", "zstd")
+
+
+@query(CTAS)
+def ctas_parquet_gzip(spark, d):
+    return made_as(spark, d, "parquet", "gzip")
+
+
+@query(CTAS)
+def ctas_parquet_zstd(spark, d):
+    return made_as(spark, d, "parquet", "zstd")
+
+
+@query("SELECT n_regionkey, count(*) AS n, max(n_name) AS last FROM nation GROUP BY n_regionkey")
+def view_over_csv(spark, d):
+    """A view over compressed CSV files with a header."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_as(table(spark, d, "nation"), path, "csv", "gzip", header="true")
+    sinks.view_over(spark, "granary_nation", "csv", path, header="true", inferSchema="true")
+    return spark.sql("SELECT n_regionkey, count(*) AS n, max(n_name) AS last FROM granary_nation GROUP BY n_regionkey")
+
+
+@query("SELECT event_id, user_id, trunc(value * 10) / 10 AS value, date_trunc('second', ts) AS ts FROM events")
+def stream_import(spark, d):
+    """Events typed as they arrive and appended to a folder; what is there now is read once."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = typed_stream(spark, d, schema, "iei-1-", glob="events.parquet")
+    import_stream(rows.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "user_id", "value", "ts")
