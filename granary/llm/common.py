@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most, so that very long texts don't fill a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes that a worker turns into Python objects at once; a longer row is a piece of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 23
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -24,21 +24,38 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.coalesce(rest == part, F.lit(True))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of bounded size, by the mean size of its rows."""
+    step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``make()`` once a task and the function it gives on each Arrow batch."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Run ``make()`` once a task and the function it gives on each piece of its Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for piece in pieces(batch):
+                yield work(piece)
 
     return df.mapInArrow(run, schema)
 
 
+def schema_with(df: DataFrame, added: str) -> str:
+    """DDL of ``df``'s columns and the added ones; names may hold any character."""
+    own = ["`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ", ".join([*own, added])
+
+
+def one_text_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row an id, ``(doc_id, text)``: of several texts the one with the least hash. Repeated ids
+    are reduced before the shuffle."""
+    least = F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t")))
+    return docs.groupBy(doc_id).agg(least.alias("_least")).select(doc_id, F.col("_least.t").alias(text))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

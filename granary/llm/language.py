@@ -1,65 +1,77 @@
 """Language by compression: the language whose text best predicts a text encodes it smallest.
 
-For each language a raw-content zstandard dictionary is made of a bounded sample of its documents.
-Texts and samples are lower-cased and what isn't a letter becomes one space. A text is cut into blocks that are encoded alone with each dictionary, over its whole length, so
-that the dictionary rather than the text's own start does the prediction; the sizes are summed.
+For each language a raw-content zstandard dictionary is made of whole documents, a bounded sample of
+its rows. Texts and samples are lower-cased, and what is neither a letter nor a mark on one becomes
+one space. A text is cut into blocks that are encoded alone with each dictionary, over its whole
+length, so that the dictionary rather than the text's own start does the prediction; the sizes are
+summed.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language by
-code point. With no labelled text at all, everything is ``und``. Texts whose margin is under
-``min_margin`` are marked rejected, and so are those that are ``und``.
+code point. With no labelled text at all, an empty table among them, everything is ``und``. Texts
+whose margin is under ``min_margin`` are marked rejected, and so are those that are ``und``. A very
+long text is encoded block by block in one task. Repeated rows are rows of their own; an empty table
+gives an empty one; columns named as those that are added are replaced, others are kept.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_batches
+from granary.llm.common import map_batches, schema_with
 
-#: Documented bounds of the fit: documents of each language, and characters that one gives.
-SAMPLE_DOCS, SAMPLE_CHARS, BLOCK_BYTES, LEVEL = 64, 2000, 1024, 6
-#: Texts of so few bytes are encoded at a higher level, as one byte decides there.
-SHORT_BYTES, SHORT_LEVEL = 400, 12
+#: Documented bounds of the fit: documents of each language at most, and bytes of their texts in all.
+#: Documents are taken or left whole; where the shortest of a language is larger, it's taken alone.
+SAMPLE_DOCS, SAMPLE_BYTES = 64, 1 << 18
+BLOCK_BYTES, LEVEL = 1024, 6
 #: Languages whose dictionaries stay in a worker's memory; those beyond are made anew for each batch.
 KEPT_LANGUAGES = 64
 #: Margin under which a prediction is rejected, by threefold cross-validation within rows that aren't held out.
 MARGIN = 0.02
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def folded(text: str) -> str:
     """Lower-case words between single spaces; empty without a letter."""
-    words = _NO_LETTERS.sub(" ", text.lower()).strip()
-    return f" {words} " if words else ""
-
-
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionary content by language. Each of 64 hash slots of a language gives the document with
-    the least hash, so the sample is bounded and pre-aggregated before the shuffle."""
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample"))
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(SAMPLE_DOCS)).alias("_slot"), key.alias("_key"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"))
-    taken = rows.groupBy("_lang", "_slot").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_text")).alias("_least"))
-    listed = taken.groupBy("_lang").agg(F.sort_array(F.collect_list("_least")).alias("_texts"))
-    return {r["_lang"]: "".join(folded(x["_text"]) for x in r["_texts"]).encode() for r in sorted(listed.collect(), key=lambda r: r["_lang"])}
+    if not _LETTER.search(text):
+        return ""
+    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} "
+
+
+def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """Dictionary content by language. Each of ``most_docs`` hash slots of a language gives the document
+    with the least hash among those that fit ``most_bytes``, pre-aggregated before the shuffle; of
+    these the shortest come first, as many as fit together."""
+    key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(most_docs)).alias("_slot"), key.alias("_key"), F.octet_length(text).alias("_size"), F.col(text).alias("_text"))
+    least = F.min(F.struct((F.col("_size") > most_bytes).alias("long"), F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_text").alias("text"))).alias("_least")
+    taken = rows.groupBy("_lang", "_slot").agg(least).select("_lang", "_least.*")
+    order = Window.partitionBy("_lang").orderBy("size", "key")
+    fitting = taken.withColumn("_sum", F.sum(F.col("size").cast("bigint")).over(order)).withColumn("_at", F.row_number().over(order)).where((F.col("_sum") <= most_bytes) | (F.col("_at") == 1))
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in fitting.select("_lang", "key", "text").collect():
+        out.setdefault(r["_lang"], []).append((r["key"], r["text"]))
+    return {name: "".join(folded(t) for _, t in sorted(out[name])).encode() for name in sorted(out)}
 
 
 class Model:
     def __init__(self, contents: dict[str, bytes]):
         self.contents, self.langs, self.kept = contents, sorted(contents), {}
 
-    def coder(self, i: int, level: int):
+    def coder(self, i: int):
         import zstandard
 
-        if (i, level) in self.kept:
-            return self.kept[i, level]
+        if i in self.kept:
+            return self.kept[i]
         d = zstandard.ZstdCompressionDict(self.contents[self.langs[i]], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        made = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(level=LEVEL)
+        made = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         if i < KEPT_LANGUAGES:
-            self.kept[i, level] = made
+            self.kept[i] = made
         return made
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -69,13 +81,12 @@ class Model:
         """One language after the other over all texts, so that memory doesn't grow with languages."""
         raws = [folded(t or "").encode() for t in texts]
         blocks = [[raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)] for raw in raws]
-        levels = [SHORT_LEVEL if len(raw) <= SHORT_BYTES else LEVEL for raw in raws]
         sizes: list[list[int]] = [[] for _ in raws]
         for i in range(len(self.langs)):
-            coders = {level: self.coder(i, level) for level in set(levels)}
-            for own, bs, level in zip(sizes, blocks, levels, strict=True):
+            compress = self.coder(i).compress
+            for own, bs in zip(sizes, blocks, strict=True):
                 if bs:
-                    own.append(sum(len(coders[level].compress(b)) for b in bs))
+                    own.append(sum(len(compress(b)) for b in bs))
         return [self._best(own) for own in sizes]
 
     def _best(self, sizes: list[int]) -> tuple[str, float]:
@@ -90,7 +101,7 @@ def identify(df: DataFrame, contents: dict[str, bytes], text: str = "text", min_
     """Adds ``lang_pred``, ``score`` (relative margin to the next language, 0 to 1) and
     ``rejected``. Columns of these names are replaced."""
     df = df.drop("lang_pred", "score", "rejected")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", lang_pred string, score double, rejected boolean"
+    schema = schema_with(df, "lang_pred string, score double, rejected boolean")
 
     def make():
         model = Model(contents)

@@ -7,8 +7,10 @@ hessians by (node, bin) and takes the split with the largest gain. Trees are fla
 together by numpy indexing.
 
 Null and empty texts have all statistics 0 and get the score of that vector. With no labels, or
-one label only, the score is the share of label 1 (0.5 with none). Ties and repeated rows change
-nothing; columns with other names are kept.
+one label only, the score is the share of label 1 (0.5 with none). Of several texts of one labelled
+id the one with the least hash is learned from, and of several labels the largest counts. Equal
+texts get equal scores; a very long text is one task's work; an empty table gives an empty one. A
+column ``score`` is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import first_by_hash, map_batches, texts
+from granary.llm.common import first_by_hash, map_batches, one_text_each, schema_with, texts
 
 #: Documented bound of the fit: labelled rows at most.
 SAMPLE_ROWS = 12_000
@@ -159,7 +161,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> Forest:
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text and with ``_stats``, an array of doubles."""
     kept = df.drop("_stats")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text) + ", _stats array<double>"
+    schema = schema_with(kept.drop(text), "_stats array<double>")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,12 +174,14 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(kept, make, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Forest:
-    """``labels`` has the rows to learn from. Ids of the sample are bounded, so they are broadcast,
-    and only the sample's statistics come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = SAMPLE_ROWS) -> Forest:
+    """``labels`` has the rows to learn from, of which the ``most_rows`` ids with the least hashes are
+    taken, each with one text. The ids are bounded, so they are broadcast, and only the sample's
+    statistics come to the driver."""
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_label"))
-    sample = first_by_hash(marked, doc_id, SAMPLE_ROWS)
-    rows = with_statistics(docs.select(doc_id, text).join(F.broadcast(sample), doc_id), text).select(doc_id, "_label", "_stats").toArrow().sort_by(doc_id)
+    sample = first_by_hash(marked, doc_id, most_rows)
+    once = one_text_each(docs.select(doc_id, text).join(F.broadcast(sample.select(doc_id)), doc_id, "left_semi"), doc_id, text)
+    rows = with_statistics(once.join(F.broadcast(sample), doc_id), text).select(doc_id, "_label", "_stats").toArrow().sort_by(doc_id)
     flat = rows.column("_stats").combine_chunks()
     x = np.asarray(flat.flatten()).reshape(-1, len(STATISTICS)) if rows.num_rows else np.zeros((0, len(STATISTICS)))
     return grow(x, np.asarray(rows.column("_label").to_numpy(), float))
@@ -186,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(df: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """Adds ``score``, the probability of label 1; a column of this name is replaced."""
     df = df.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double"
+    schema = schema_with(df, "score double")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

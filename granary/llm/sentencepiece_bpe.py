@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_batches, texts
+from granary.llm.common import map_batches, schema_with, texts
 
 SPACE = "▁"
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
@@ -174,7 +174,7 @@ def encode_column(df: DataFrame, model_path: str, text: str = "text") -> DataFra
     with open(model_path, "rb") as f:
         model = f.read()
     df = df.drop("ids", "decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", ids binary, decoded string"
+    schema = schema_with(df, "ids binary, decoded string")
 
     def make():
         c = codec(model)
