@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes that a worker turns into Python objects at once; a longer row is a piece of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 23
@@ -31,7 +32,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Run ``make()`` once a task and the function it gives on each piece of its Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,10 +44,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def schema_with(df: DataFrame, added: str) -> str:
-    """DDL of ``df``'s columns and the added ones; names may hold any character."""
-    own = ["`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return ", ".join([*own, added])
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """``df``'s columns and the added ones, which are given as DDL."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + StructType.fromDDL(added).fields)
 
 
 def one_text_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
