@@ -10,8 +10,8 @@ can reach across: before a space mark after another character, around control ch
 longer piece holds, and after a Latin letter or digit before anything else, if the model's pieces
 allow it, which is verified on loading. Each part is encoded on its own, and parts are remembered.
 
-Null and empty texts give the begin and end ids only. Repeated rows and ties need no care: rows
-are independent. Columns with other names are kept; ``ids`` and ``decoded`` replace columns of
+Null and empty texts give the begin and end ids only; a very long text is one task's work; an empty
+table gives an empty one. Repeated rows and ties need no care: rows are independent. Columns with other names are kept; ``ids`` and ``decoded`` replace columns of
 these names.
 """
 
@@ -166,13 +166,27 @@ def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
+def read_model(path: str) -> bytes:
+    """A model file, if it's of the kind that this encoder is exact for."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        model = f.read()
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    trained, normal = proto.trainer_spec, proto.normalizer_spec
+    plain = not normal.precompiled_charsmap and normal.add_dummy_prefix and not normal.remove_extra_whitespaces and normal.escape_whitespaces
+    if trained.model_type != trained.BPE or not plain or trained.treat_whitespace_as_suffix or any(p.type == p.USER_DEFINED for p in proto.pieces):
+        raise ValueError(f"{path}: only merge-type models without normaliser, with a dummy prefix, all white space and no pieces of users are known")
+    return model
+
+
 def encode_column(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
 
     The model file is read on the driver and travels with the task, so executors need no copy.
     """
-    with open(model_path, "rb") as f:
-        model = f.read()
+    model = read_model(model_path)
     df = df.drop("ids", "decoded")
     schema = schema_with(df, "ids binary, decoded string")
 
