@@ -9,12 +9,15 @@ that crosses the rest is taken if that comes nearer to it.
 
 The order within a source is never sorted as a whole. Keys are mapped to slots by a monotone
 function; sizes are summed by (source, slot) on the map side, the slot in which the rest is
-crossed is found by a prefix sum over slots, and only that slot's documents are sorted. What
-remains is one threshold a source, so each document decides on its own.
+crossed is found by a prefix sum over slots, and only that slot's keys are sorted, each with the
+number of its rows. What remains is one cut a source, so each document decides on its own. Sources
+are ranked and summed in ranges, so there may be many.
 
 Null sources are one source, last in order; null and empty texts have size 0 and are taken in
-whole epochs only, with nothing. Repeated rows share a key and are taken together. Weights that
-are null or not positive count as 1. Columns named ``size`` and the like may exist in the input.
+whole epochs only, with nothing. Rows that repeat an id and a size, or a text without an id, share
+a key; where the cut falls among them, as many are taken as come nearest to it. Weights that
+are null or not positive count as 1. A very long text is a document as any other; an empty table
+gives an empty one. Columns named ``size`` and the like may exist in the input.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import NOT_WHITE
+from granary.operators.rowid import with_row_id
 from granary.session import stage
 
 SLOTS = 16384
@@ -34,26 +38,41 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_WHITE)), F.lit(0)).cast("bigint")
 
 
-def sampling_key(doc_id: Column, size: Column, weight: Column, nameless: Column) -> Column:
-    """``nameless`` is null but for rows without doc_id; a null adds nothing to the hash."""
-    h = F.xxhash64(doc_id, size, F.lit("mix"), nameless)
-    u = (F.shiftrightunsigned(h, 11) + 0.5) / float(1 << 53)
-    return -F.log(u) / F.when(weight > 0, weight).otherwise(1.0)
+def document_name(doc_id: Column, text: Column, size: Column) -> Column:
+    """What the hash is of: the id, or without one the text's digest, and the size."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))), size)
+
+
+def sampling_key(name: Column, weight: Column) -> Column:
+    """``-ln(u) / weight``, u from the first 52 bits of the name's MD5."""
+    h = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint")
+    return -F.log((h + 0.5) / float(1 << 52)) / F.when(weight > 0, weight).otherwise(1.0)
+
+
+def _running(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """Adds prefix sums of columns, this row included, in an order. Ranges of rows are summed on their
+    own; the only window without a key has one row a range."""
+    placed = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])
+    starts = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(starts, F.col("_part") == F.col("_p"))
+    return joined.select(*df.columns, *[(F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"{c}_to") for c in sums])
 
 
 def targets(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = 3) -> DataFrame:
-    """Adds ``target`` to ``(source, source_size)``; one row a source, so its windows are small."""
-    order = F.col("source").asc_nulls_last()
-    at = F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(len(cycle)))
-    weighed = sources.withColumn("_w", F.element_at(F.array(*[F.lit(w) for w in cycle]), (at + 1).cast("int"))).withColumn("_cap", F.col("source_size") * float(most_epochs))
-    filling = Window.orderBy(F.col("_cap") / F.col("_w"), order)
-    rest = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum(F.col("source_size").cast("double")).over(everything) - (F.sum("_cap").over(filling.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cap"))) / F.sum("_w").over(rest)
-    leveled = weighed.withColumn("_level", level)
+    """Adds ``target`` to ``(source, source_size)``."""
+    ranked = with_row_id(sources.withColumn("none", F.col("source").isNull()), ["none", "source"], "at")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.pmod("at", F.lit(len(cycle))) + 1).cast("int"))
+    weighed = ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most_epochs)).withColumn("fills", F.col("cap") / F.col("w"))
+    total = weighed.agg(F.sum(F.col("source_size").cast("double")).alias("size"), F.sum("w").alias("w")).first()
+    summed = stage(_running(weighed, ["fills", "at"], ["cap", "w"]), "mix-fills")
+    level = (F.lit(total["size"]) - (F.col("cap_to") - F.col("cap"))) / (F.lit(total["w"]) - (F.col("w_to") - F.col("w")))
     # Past the first source that isn't full, levels only fall, so the largest is that source's, also among equal ones.
-    first_open = F.max(F.when(F.col("_cap") / F.col("_w") >= F.col("_level"), F.col("_level"))).over(everything)
-    return leveled.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_w") * first_open), F.col("_cap"))).select("source", "source_size", "target")
+    first_open = summed.agg(F.max(F.when(F.col("fills") >= level, level))).first()[0]
+    target = F.col("cap") if first_open is None else F.least(F.col("cap"), F.col("w") * F.lit(first_open))
+    return summed.select("source", "source_size", target.alias("target"))
 
 
 def _keyed(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -62,13 +81,13 @@ def _keyed(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
         weighed = docs.withColumn("weight", F.lit(1.0))
     else:
         weighed = docs.join(weights.select(F.col("doc_id").alias("_id"), "weight"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    keyed = weighed.withColumn("key", sampling_key(F.col("doc_id"), F.col("size"), F.coalesce("weight", F.lit(1.0)), F.col("nameless"))).drop("weight", "nameless")
+    keyed = weighed.withColumn("key", sampling_key(F.col("name"), F.coalesce("weight", F.lit(1.0)))).drop("weight", "name")
     return keyed.withColumn("slot", F.floor((1 - F.exp(-F.col("key"))) * (SLOTS - 1)).cast("int"))
 
 
 def _sized(docs: DataFrame, *more: Column) -> DataFrame:
-    """Rows without doc_id are told apart by ``nameless``, a hash of their text."""
-    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("nameless"), *more)
+    size = words(F.col("text"))
+    return docs.select("doc_id", "source", size.alias("size"), document_name(F.col("doc_id"), F.col("text"), size).alias("name"), *more)
 
 
 def _planned(rows: DataFrame, keyed: DataFrame, cycle: tuple[float, ...], most_epochs: int) -> DataFrame:
@@ -85,19 +104,34 @@ def _planned(rows: DataFrame, keyed: DataFrame, cycle: tuple[float, ...], most_e
     aimed = aimed.withColumnRenamed("source", "aim")
 
     before = F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slot_size")
-    crossing = by_slot.withColumn("before", before).join(beside(aimed.select("aim", "rest")), same("source", "aim")).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("slot_size") > F.col("rest")))
-    crossing = crossing.select(F.col("source").alias("cross_source"), F.col("slot").alias("cross_slot"), "before", F.col("rest").alias("cross_rest"))
+    crossing = by_slot.withColumn("before", before).join(beside(aimed.select("aim", F.col("rest").alias("left"))), same("source", "aim")).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("slot_size") > F.col("left")))
+    crossing = crossing.select(F.col("source").alias("cross_source"), F.col("slot").alias("cross_slot"), "before", "left")
 
     inside = keyed.join(beside(crossing), same("source", "cross_source") & (F.col("slot") == F.col("cross_slot")))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = inside.withColumn("middle", F.col("before") + run - F.col("size") / 2).where(F.col("middle") <= F.col("cross_rest"))
-    last = chosen.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    last = crossing.select("cross_source", "cross_slot").join(beside(last.withColumnRenamed("source", "_s")), same("cross_source", "_s"), "left").drop("_s")
-    plan = stage(aimed.join(beside(last), same("aim", "cross_source"), "left").drop("cross_source"), "mix-plan")
-
-    drawn = F.when(F.col("cross_slot").isNull(), F.col("rest") > 0).otherwise((F.col("slot") < F.col("cross_slot")) | (F.col("slot") == F.col("cross_slot")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False)))
+    inside = inside.groupBy("source", "key", "size", "before", "left").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("n") * F.col("size")
+    start = F.col("before") + F.sum(own).over(Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)) - own
+    cut = inside.withColumn("start", start).where((F.col("start") <= F.col("left")) & (F.col("start") + own > F.col("left")))
+    cut = cut.select(F.col("source").alias("cut_source"), F.struct("key", "size").alias("cut"), F.col("n").alias("cut_rows"), F.floor((F.col("left") - F.col("start")) / F.col("size") + 0.5).alias("cut_taken"))
+    plan = stage(aimed.join(beside(cut), same("aim", "cut_source"), "left").drop("cut_source"), "mix-plan")
+
+    at = F.struct("key", "size")
+    drawn = F.when(F.col("cut").isNull(), F.col("rest") > 0).otherwise((at < F.col("cut")) | (at == F.col("cut")) & (F.col("cut_taken") == F.col("cut_rows")))
     times = F.col("epochs") + F.when(drawn & (F.col("size") > 0), 1).otherwise(0)
-    return rows.join(beside(plan), same("source", "aim"), "left").withColumn("times", times.cast("int"))
+    planned = rows.join(beside(plan), same("source", "aim"), "left").withColumn("times", times.cast("int"))
+    if plan.where("cut_taken > 0 AND cut_taken < cut_rows").isEmpty():
+        return planned
+    split = F.coalesce((at == F.col("cut")) & (F.col("cut_taken") > 0) & (F.col("cut_taken") < F.col("cut_rows")), F.lit(False))
+    return planned.where(~split).unionByName(_shared_out(planned.where(split)))
+
+
+def _shared_out(rows: DataFrame) -> DataFrame:
+    """Rows that share their source's cut, of which the first ``cut_taken`` are taken once more. They
+    are equal in what they weigh, so any will do; they are numbered in ranges, however many."""
+    numbered = stage(with_row_id(rows.withColumn("tie", F.monotonically_increasing_id()), ["source", "tie"], "number"), "mix-cut")
+    first = numbered.groupBy("source").agg(F.min("number").alias("first")).withColumnRenamed("source", "of")
+    joined = numbered.join(first, F.col("source").eqNullSafe(F.col("of")))
+    return joined.withColumn("times", (F.col("times") + F.when(F.col("number") - F.col("first") < F.col("cut_taken"), 1).otherwise(0)).cast("int")).select(*rows.columns)
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = 3) -> DataFrame:
