@@ -7,8 +7,13 @@ contents share a hash, each content gets a number, and the identifier is the pai
 then its length and its ordered list of identifiers, and documents are equal when these are:
 grouping moves lists of some numbers instead of texts.
 
+Rows of one text are first reduced within salts, then the salts' results by text, and come back the
+same way, so that no task gets a large group of copies row by row.
+
 Null texts count as empty and are equal to empty ones. Of equal texts the row with the smallest
-doc_id stays (nulls last); of rows that also share the doc_id, exactly one.
+doc_id stays (nulls last); of rows that also share the doc_id, exactly one. A very long text is cut
+in one task and moves as its chunks. An empty table gives an empty one. Only ``doc_id`` and ``text``
+are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import WHITE, map_batches
 from granary.session import stage
 
-LEAST, MOST, PATTERN = 512, 8192, np.uint32(0x7FF)
+LEAST, MOST = 512, 8192
+#: Parts that a group of equal texts is spread over.
+SALTS = 64
 
 
 def _gears() -> np.ndarray:
@@ -114,8 +121,11 @@ def recipes(cut: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row a row of ``docs``."""
     cut = stage(chunked(docs, hash_bits).withColumn("row", F.monotonically_increasing_id()), "dedup-chunks")
-    rows = recipes(cut)
+    rows = recipes(cut).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     key = ["n_bytes", "recipe"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    groups = rows.groupBy(*key).agg(least, F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, key).select("doc_id", F.col("least.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("least.row")).alias("kept"), "text_sha256")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    salted = rows.groupBy("salt", *key).agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = salted.groupBy(*key).agg(F.min("least").alias("least"), F.sum("n").alias("group_size"))
+    known = salted.select("salt", *key).join(whole, key)
+    found = rows.join(known, ["salt", *key])
+    return found.select("doc_id", F.col("least.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("least.row")).alias("kept"), "text_sha256")
