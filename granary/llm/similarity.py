@@ -3,7 +3,10 @@
 Documents are sets of distinct shingles of five words (all words as one if fewer), as 64-bit
 hashes. Equal sets are one class, which has a number of its own while links are found. In any fixed order of
 shingles, two sets of similarity t share one of the first ``n - ceil(t n) + 1`` of each; the order
-puts rare shingles first, by counts over the whole corpus in a sketch of fixed size. Sets that
+puts rare shingles first, by counts over the whole corpus in a sketch of fixed size. The first one
+that they share also has enough places behind it in both; a set whose place of a shingle leaves too
+few for any set it meets there is dropped, so texts that share most of a template, but aren't
+similar, don't meet in it. Sets that
 share such a shingle are joined in groups by signature trees: each node holds, for each slot of a
 hashed bitmap, the largest number of tokens that a set below it has there (its OR, with counts),
 and the range of set sizes. A dual traversal drops node pairs whose largest possible overlap is
@@ -15,8 +18,8 @@ signatures of 256 bytes or some more, where the largest possible overlap decides
 sets share are joined once. Only sets that this leaves fetch their texts and are counted, in groups
 of what the first join connects.
 
-Groups of up to ``GROUP`` sets are joined in one task. Larger ones are joined
-in blocks: first each set with others that chose the same shared shingle, which connects copies,
+Groups of up to ``GROUP`` sets and ``MOST_SHINGLES`` shingles are joined in one task. Larger ones are joined
+in blocks of about as much: first each set with others that chose the same shared shingle, which connects copies,
 then, for each shingle whose sets are still in several components, the sets outside its largest
 component with all its sets. No link between different components is left out, so the components
 are exact. Sets of one component need not be compared further, so a group of n copies costs about
@@ -25,7 +28,9 @@ n comparisons.
 Null texts and texts without words have an empty set and are linked with nothing; their component
 is their own id. Rows without doc_id take no part and have no component. Repeated rows are one
 class. Rows of one id with different sets are classes as any others; components are named by their
-least id at the end, so two that share it have one name in ``component_id`` and two in ``comp``.
+least id at the end, so two that share it have one name in ``component_id`` and two in ``comp``. A
+very long text is shingled in one task. An empty table gives an empty one. Only ``doc_id`` and
+``text`` are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_batches, texts
@@ -45,6 +50,8 @@ WORDS, PERCENT = 5, 80
 #: Sets of one group or block at most; signatures of one; least and most slots of a
 #: signature; children of a node.
 GROUP, SIGNED_GROUP, SLOTS, MOST_SLOTS, FANOUT = 512, 4096, 256, 1 << 14, 8
+#: Shingles of one group or block at most; a longer set is alone with others that count no more.
+MOST_SHINGLES = 1 << 22
 #: Bits of a frequency counter's number; counters in one row.
 COUNTER_BITS, CHUNK = 19, 1 << 13
 COUNTERS = 1 << COUNTER_BITS
@@ -331,19 +338,25 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return found.join(reps, (F.col("doc_id") == F.col("least")) & (F.col("own") == F.col("digest"))).drop("doc_id", "own", "least", "digest")
 
 
+def _share(group: int) -> Column:
+    """What a set takes of a block."""
+    return F.lit(1.0 / group) + F.col("n") / float(MOST_SHINGLES)
+
+
 def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
-    """Links among sets of groups that are too large for one task; ``shared(token, rep)``."""
+    """Links among sets of groups that are too large for one task; ``shared(token, rep, n)``."""
     picks = [F.min(F.struct(F.xxhash64("token", F.lit(k)), "token"))["token"].alias(f"t{k}") for k in range(3)]
-    chosen = shared.groupBy("rep").agg(*picks).select("rep", F.posexplode(F.array("t0", "t1", "t2")).alias("k", "token"))
-    counted = chosen.join(chosen.groupBy("k", "token").agg(F.count(F.lit(1)).alias("n")), ["k", "token"])
-    blocks = counted.select("k", "token", F.pmod(F.xxhash64("rep", "k"), F.ceil(F.col("n") / group)).alias("block"), "rep", F.col("rep").alias("comp"))
+    chosen = shared.groupBy("rep", "n").agg(*picks).select("rep", "n", F.posexplode(F.array("t0", "t1", "t2")).alias("k", "token"))
+    counted = chosen.join(chosen.groupBy("k", "token").agg(F.sum(_share(group)).alias("bulk")), ["k", "token"])
+    blocks = counted.select("k", "token", F.pmod(F.xxhash64("rep", "k"), F.ceil("bulk")).alias("block"), "rep", F.col("rep").alias("comp"))
     first = stage(_linked(blocks.join(sets, "rep"), ["k", "token", "block"]), "links-a")
 
-    known = shared.join(components(first).withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
+    known = shared.join(components(first).withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     known = stage(known.distinct(), "links-known")
-    by_comp = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_comp.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n_all"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1")
-    mixed = mixed.select("token", F.col("main.comp").alias("main"), F.ceil((F.col("n_all") - F.col("main.n")) * 2 / group).alias("minors"), F.ceil(F.col("n_all") * 2 / group).alias("alls"))
+    by_comp = known.groupBy("token", "comp").agg(F.sum(_share(group)).alias("bulk"))
+    mixed = by_comp.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("bulk").alias("bulk_all"), F.max(F.struct("bulk", "comp")).alias("main")).where("comps > 1")
+    minors = F.greatest(F.ceil((F.col("bulk_all") - F.col("main.bulk")) * 2), F.lit(1))
+    mixed = mixed.select("token", F.col("main.comp").alias("main"), minors.alias("minors"), F.ceil(F.col("bulk_all") * 2).alias("alls"))
     rows = known.join(mixed, "token")
     where = lambda parts: F.pmod(F.xxhash64("rep", "token"), parts)
     every = F.sequence(F.lit(0), F.col("minors") - 1)
@@ -353,16 +366,19 @@ def _large_links(shared: DataFrame, sets: DataFrame, group: int) -> DataFrame:
 
 
 def _runs(tokens: DataFrame) -> DataFrame:
-    """``(token, rep, head)`` of sets that meet in a token at sizes that allow similarity: in order
-    of size, a token's sets are cut where a size is too far above the one before. All windows use
-    one shuffle by token."""
+    """``(token, rep, n, head)`` of sets that meet in a token where similarity is possible. ``pos`` is a
+    token's place in the set's order. If it's the first that two similar sets share, they share no
+    more than the ``n - pos`` from there on, which bounds the size of the other set. In order of
+    size, a token's sets are cut where no set before reaches the size. All windows use one shuffle
+    by token."""
+    reach = F.floor((100 + PERCENT) * (F.col("n") - F.col("pos")) / PERCENT + 1e-9) - F.col("n")
     order = Window.partitionBy("token").orderBy("n", "rep")
-    far = F.coalesce(100 * F.lag("n").over(order) < PERCENT * F.col("n"), F.lit(True))
-    last = F.coalesce(100 * F.col("n") < PERCENT * F.lead("n").over(order), F.lit(True))
-    cut = tokens.select("*", far.alias("far"), last.alias("last")).where("NOT (far AND last)").withColumn("run", F.sum(F.col("far").cast("int")).over(order))
+    reached = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    far = tokens.select("token", "rep", "n", reach.alias("reach")).withColumn("far", F.coalesce(reached < F.col("n"), F.lit(True)))
+    cut = far.withColumn("last", F.coalesce(F.lead("far").over(order), F.lit(True))).where("NOT (far AND last)").withColumn("run", F.sum(F.col("far").cast("int")).over(order))
     whole = Window.partitionBy("token", "run")
     runs = cut.withColumn("head", F.min("rep").over(whole)).withColumn("tail", F.max("rep").over(whole)).where("head <> tail")
-    return runs.select(F.xxhash64("token", "run").alias("token"), "rep", "head")
+    return runs.select(F.xxhash64("token", "run").alias("token"), "rep", "n", "head")
 
 
 def join_similar(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP) -> DataFrame:
@@ -379,7 +395,7 @@ def linked(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP
     classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), *own)
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "similar-classes")
     reps = classes.drop("digest", "least")
-    shared = stage(_runs(reps.select("rep", "n", F.explode("prefix").alias("token"))), "similar-shared")
+    shared = stage(_runs(reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))), "similar-shared")
 
     # By signatures.
     counted = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
@@ -391,13 +407,14 @@ def linked(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP
 
     # By shingles.
     near = components(possible.union(beyond)).withColumnRenamed("id", "rep")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    near = stage(near.join(sizes, "component").join(classes.select("rep", "least", "digest"), "rep"), "similar-near")
+    near = near.join(classes.select("rep", "n", "least", "digest"), "rep")
+    bulks = near.groupBy("component").agg(F.sum(_share(group)).alias("bulk"))
+    near = stage(near.drop("n").join(bulks, "component"), "similar-near")
     sets = stage(_sets(docs, near), "similar-sets")
-    links = stage(_linked(sets.where(F.col("n") <= group).withColumn("comp", F.col("rep")), ["component"]), "links")
-    large = near.where(F.col("n") > group).select("rep")
+    links = stage(_linked(sets.where("bulk <= 1.000001").withColumn("comp", F.col("rep")), ["component"]), "links")
+    large = near.where("bulk > 1.000001").select("rep")
     if not large.isEmpty():
-        links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep"), sets.where(F.col("n") > group).select("rep", "shingles"), group))
+        links = links.union(_large_links(shared.join(large, "rep", "left_semi").select("token", "rep", "n"), sets.where("bulk > 1.000001").select("rep", "shingles"), group))
     found = components(links).withColumnRenamed("id", "rep")
     named = classes.select("digest", "rep", "least").join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     names = named.where("component IS NOT NULL").groupBy("comp").agg(F.min("least").alias("name"))
