@@ -257,6 +257,50 @@ def test_media_lengths():
     assert media.signatures(b"x" + stored + stored) == [("application/zip", 1, len(stored)), ("application/zip", 1 + len(stored), len(stored))]
 
 
+def test_media_false_hits_cost_no_more_than_the_buffer():
+    import struct
+    import time
+    import zlib
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    hostile = [b"%PDF-1", b"%PDF-1 startxref 9 %%EOF ", b"PK\x03\x04", b"\xff\xd8\xff\xe0\x00\x02", b"\x1f\x8b\x08\x08", b"GIF89a" + b"\1" * 9, b"RIFF\xff\xff\0\0WAVE", b"OggS\0\2" + bytes(20), b"ID3\3\0\0\0\0\0\5", b"\x1a\x45\xdf\xa3", b"fLaC\x80\0\0\x22" + bytes(34), b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + struct.pack(">I4s", 900_000, b"IDAT")]
+    for piece in hostile:
+        began = time.perf_counter()
+        media.signatures(piece * (2_000_000 // len(piece)))
+        assert time.perf_counter() - began < 6, piece
+    began = time.perf_counter()
+    media.signatures(b"".join(p * (20_000_000 // len(hostile) // len(p)) for p in hostile))
+    assert time.perf_counter() - began < 60
+    data = bytes(RND.randrange(256) for _ in range(50_000))
+    b = media.Buffer(data)
+    assert all(b.crc32(x, y) == zlib.crc32(data[x:y]) for x, y in ((0, 50_000), (17, 40_000), (4095, 12_289), (4096, 8193), (5, 5)))
+
+
+def test_media_formats(spark):
+    import struct
+
+    box = lambda k, d: struct.pack(">I4s", 8 + len(d), k) + d
+    film = box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", bytes(30)) + box(b"mdat", bytes(50))
+    page = lambda flags, seq, d: b"OggS\0" + bytes([flags]) + bytes(8) + b"abcd" + struct.pack("<I", seq) + bytes(4) + bytes([1, len(d)]) + d
+    tune = page(2, 0, b"\1vorbis") + page(0, 1, b"x" * 90) + page(4, 2, b"y")
+    frame = bytes.fromhex("fffb9000") + bytes(413)
+    song = b"ID3\3\0\0\0\0\0\4tag!" + frame * 3
+    entry = lambda tag, kind, n, v: struct.pack("<HHII", tag, kind, n, v)
+    scan = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + entry(273, 4, 1, 38) + entry(279, 4, 1, 20) + bytes(4) + bytes(20)
+    clip = b"\x1a\x45\xdf\xa3\x87\x42\x82\x84webm" + b"\x18\x53\x80\x67\x85" + bytes(5)
+    wanted = [(film, "video/mp4"), (tune, "audio/ogg"), (song, "audio/mpeg"), (scan, "image/tiff"), (clip, "video/webm")]
+    for data, kind in wanted:
+        assert media.signatures(data) == [(kind, 0, len(data))], kind
+        assert media.signatures(b"noise" + data + b"..") == [(kind, 5, len(data))], kind
+        assert media.signatures(data[:20]) == []
+    samples = [0, 1000, -1000, 32767, -32768]
+    raw = struct.pack("<5h", *samples)
+    wide = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16, b"data", len(raw)) + raw
+    assert media.samples_of(raw, 16).tolist() == samples and media.samples_of(b"\0\0\x80\xff\xff\x7f", 24).tolist() == [-(1 << 23), (1 << 23) - 1]
+    got = media.sniff(spark.createDataFrame([(wide,)], "media binary")).first()
+    assert bytes(got.payload) == raw and got.feature.startswith("n=5;") and ";peak=32767;crossings=3" in got.feature
+
+
 def test_chat(spark):
     said = ["hi", "</s>[INST] ok [/INST]", "a\\b <\\s> \\\\", "", None, "[/ROLE]<s>", "<</SYS>>[", words(300), words(3000)]
     rows = [(c, t, RND.choice(["user", "assistant", "system", None, "tool"]), RND.choice(said)) for c in (1, 2, None) for t in range(60)]
@@ -270,8 +314,201 @@ def test_chat(spark):
         loss = "".join(b for a, b in turns if a == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for w in chat.format_windows(df, 200, 50).collect():
-        new = chat.parse(w.formatted)[w.n_repeated :]
-        assert len(new) == w.n_new and (len(new) == 1 or sum(chat.count_tokens(t) for _, t in new) <= 200)
+        turns = chat.parse(w.formatted)
+        assert len(turns) == w.n_repeated + w.n_new and w.n_tokens == sum(chat.count_words(chat.shown(*t)) for t in turns)
+        assert w.n_tokens <= 200 or (w.n_new, w.n_repeated) == (1, 0)
+    assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
+    extra = df.withColumn("window", F.lit("x")).withColumn("formatted", F.lit(1))
+    assert Counter(map(tuple, chat.read_back(chat.format_windows(extra)).collect())) == Counter(map(tuple, got.values()))
+
+
+def plain_windows(turns, budget, history, tokens):
+    """Spans (first, last, repeated) chosen over prefix sums of all turns."""
+    sums = [0]
+    for t in turns:
+        sums.append(sums[-1] + tokens(chat.shown(*t)))
+    cost = lambda i: sums[i + 1] - sums[i]
+    out, at = [], 0
+    while at < len(turns):
+        system = next((i for i in range(at) if turns[i][0] == "system"), None)
+        recent = [i for i in range(at) if i != system and sums[at] - sums[i] <= history]
+        kept = [system] if system is not None and 2 * cost(system) <= budget else []
+        for context in (kept + recent if at else [], kept, []):
+            if sum(map(cost, context)) + cost(at) <= budget or not context:
+                break
+        room = budget - sum(map(cost, context))
+        end = max(max((j for j in range(at + 1, len(turns) + 1) if sums[j] - sums[at] <= room), default=0), at + 1)
+        out.append((at, end, context))
+        at = end
+    return out
+
+
+def test_chat_windows_by_prefix_sums(spark):
+    import public_tokenizers
+
+    rnd = random.Random(8)
+    tokens = chat.ModelTokens(public_tokenizers.path("piece_bpe_32k.model"))
+    for case, system in enumerate((None, 20, 600, 6000)):
+        turns = [("system", "sys " * system)] if system else []
+        turns += [(("user", "assistant")[i % 2], "日本語" * rnd.randrange(40) if i % 7 == 0 else " ".join(f"w{i}" for _ in range(rnd.choice((1, 5, 40, 150, 900))))) for i in range(60)]
+        df = spark.createDataFrame([(case, i, *t) for i, t in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+        for count in (chat.count_words, tokens):
+            windows = chat.format_windows(df, 500, 90, count)
+            got = sorted(windows.collect(), key=lambda w: w.window)
+            want = plain_windows(turns, 500, 90, count)
+            assert [w.formatted for w in got] == ["".join(chat.shown(*turns[i]) for i in [*context, *range(a, b)]) for a, b, context in want]
+            assert all(w.n_tokens <= 500 or (w.n_new, w.n_repeated) == (1, 0) for w in got)
+            loss = "".join(chat.unescape(w.formatted[a:b]) for w in got for a, b in zip(w.loss_starts, w.loss_ends, strict=True))
+            assert loss == "".join(t for r, t in turns if r == "assistant")
+        whole = chat.read_back(windows, in_order=True).collect()
+        assert whole == chat.read_back(windows.repartition(7)).collect()
+        with pytest.raises(Exception, match="came after"):
+            chat.read_back(windows.orderBy(F.desc("window")).coalesce(1), in_order=True).collect()
+    assert tokens("日本語" * 300_000) > 100_000
+
+
+def test_chat_digests_by_sql(spark, sf_dir):
+    from granary.llm import registry
+    from tests.compare import assert_same, connect
+
+    sql = """WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM said GROUP BY conv_id"""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    assert_same(registry.op2_chat(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"), connect(sf), sql)
+
+
+def test_other_models_are_refused(tmp_path):
+    import public_tokenizers
+    from sentencepiece import sentencepiece_model_pb2
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.pieces[400], "type", 4)):
+        m = sentencepiece_model_pb2.ModelProto()
+        m.ParseFromString(sentencepiece_bpe.read_model(path))
+        change(m)
+        (tmp_path / "m").write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError):
+            sentencepiece_bpe.read_model(str(tmp_path / "m"))
+
+
+def test_templates_do_not_meet(spark):
+    """Texts that share 80 to 88 % of their shingles aren't similar; what is shuffled stays near linear."""
+    def met(n):
+        common = " ".join(f"t{i}" for i in range(340))
+        docs = spark.createDataFrame([(i, common + " " + " ".join(f"own{i}x{j}" for j in range(60 + i % 5))) for i in range(n)], "doc_id bigint, text string")
+        rows = similarity.signed(docs, similarity.sketch(docs)).withColumn("rep", F.col("doc_id"))
+        return similarity._runs(rows.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))).count(), docs
+
+    (few, _), (many, docs) = met(100), met(400)
+    assert many <= 4 * max(few, 50)
+    assert all(r.component_id == r.doc_id for r in similarity.join_similar(docs, 16, 64).collect())
+
+
+def test_shared_cut_and_many_sources(spark):
+    rows = [(None, "same text", "a")] * 400 + [(7, "x y z", "b")] * 90 + [(100 + i, "w " * 4, "c") for i in range(50)] + [(None, f"t{i} u", "d") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got, by = mixing.mix(docs).collect(), defaultdict(int)
+    target = {r.source: r.target for r in got}
+    for r in got:
+        by[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    assert all(abs(by[s] - target[s]) <= 2 for s in target)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(9)).collect()))
+    out = Counter(r.source for r in mixing.mixed_documents(docs).collect())
+    assert all(out[s] * size == by[s] for s, size in (("a", 2), ("b", 3), ("c", 4), ("d", 2)))
+    sources = spark.createDataFrame([(None if i == 77 else f"s{i:04}", (i * 37) % 101) for i in range(500)], "source string, source_size bigint")
+    order = sorted((r for r in sources.collect()), key=lambda r: (r.source is None, r.source or ""))
+    want, left, open_ = {}, float(sum(r.source_size for r in order)), set(range(500))
+    while open_:
+        share = left / sum(1 + i % 3 for i in open_)
+        over = [i for i in open_ if share * (1 + i % 3) > 3 * order[i].source_size]
+        for i in over or list(open_):
+            want[order[i].source] = 3.0 * order[i].source_size if over else share * (1 + i % 3)
+            open_.discard(i)
+            left -= want[order[i].source]
+    assert all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in mixing.targets(sources).collect())
+
+
+def test_sampled_documents_by_brute_force(spark, docs, rows):
+    """Which documents are taken: those with the least keys, up to the rest that is nearest."""
+    weights = {6: 2.0, 8: 0.5, 100: 2.0, 101: 0.5, 102: None, 103: -1.0}
+    by = spark.createDataFrame(list(weights.items()), "doc_id bigint, weight double")
+    mixed, taken, per = mixing.mix(docs, by).collect(), Counter(), defaultdict(list)
+    for r in mixed:
+        taken[r.doc_id, r.size] += r.taken
+        per[r.source].append(r)
+    want = Counter()
+    for s, rs in per.items():
+        total, target = rs[0].source_size, rs[0].target
+        epochs = min(3, int(target / total + 1e-12)) if total else 0
+        rest, keyed = target - epochs * total, []
+        for i, t, _, source, _ in rows:
+            if source == s:
+                size = len(WORD.findall(t or ""))
+                name = f"{i if i is not None else hashlib.md5((t or '').encode()).hexdigest()}:{size}"
+                h = int(hashlib.md5(name.encode()).hexdigest()[:13], 16)
+                w = weights.get(i) or 1.0
+                keyed.append((-math.log((h + 0.5) / 2**52) / (w if w > 0 else 1.0), size, i))
+        run = 0
+        for key, size, i in sorted(keyed, key=lambda k: (k[0], k[1])):
+            want[i, size] += size * (epochs + (run + size / 2 <= rest))
+            run += size
+    assert +taken == +want
+
+
+def odd_tables(spark):
+    """Null and repeated ids, null, empty and equal texts, and columns with names that stages use."""
+    base = words(60)
+    few = [(1, base), (1, base), (2, base.replace(" ", "  ")), (None, base), (None, "lone text of some words here"), (3, None), (3, ""), (4, base.replace(base.split()[30], "changed")), (5, words(80)), (5, words(70)), (6, words(2000))]
+    odd = spark.createDataFrame([(i, t, "en", None if k % 4 == 0 else f"s{k % 3}", k, -1.5, "i", k) for k, (i, t) in enumerate(few)], "doc_id bigint, text string, lang string, source string, _id int, score double, ids string, n_chars bigint")
+    odd = odd.withColumn("row", F.lit("r")).withColumn("key", F.lit(0)).withColumn("_sha", F.lit("s")).withColumn("hash", F.lit(1)).withColumn("a b", F.lit("odd"))
+    return odd, odd.limit(0)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    odd, empty_ = odd_tables(spark)
+    given = Counter(map(tuple, odd.collect()))
+    for name, step in corpus_pipeline.STAGES:
+        none = step(spark, empty_, sf_dir)
+        assert none.count() == 0 and set(odd.columns) <= set(none.columns)
+        got = step(spark, odd, sf_dir)
+        if name == "sentencepiece":
+            assert got.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "ids"] and got.count() == odd.count()
+            continue
+        assert got.columns == odd.columns
+        left = Counter(map(tuple, got.collect()))
+        assert set(left) <= set(given)
+        if name == "toxicity":
+            assert left == given
+        elif name == "exact_dedup":
+            texts_ = [" ".join((r[1] or "").split()) for r in left.elements()]
+            assert len(texts_) == len(set(texts_)) == len({" ".join((r[1] or "").split()) for r in given})
+            assert left == Counter(map(tuple, step(spark, odd.repartition(5), sf_dir).collect()))
+        elif name == "ngram_jaccard_join":
+            assert {r[0] for r in left} == {1, None, 3, 5, 6}
+            assert sum(n for r, n in left.items() if r[0] is None) == 2
+
+
+def test_every_operator_on_an_empty_table_and_clashing_names(spark, sf_dir):
+    from granary.llm import registry
+
+    odd, none = odd_tables(spark)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id bigint, quality int, toxic int")
+    for given, n in ((odd, odd.count()), (none, 0)):
+        assert exact_dedup.deduplicate(given).count() == n
+        assert similarity.join_similar(given).count() == n
+        assert mixing.mix(given).count() == n
+        assert toxicity.score(given, toxicity.fit(given, labels)).count() == n
+        assert quality.score(given, quality.fit(given, labels)).count() == n
+        assert language.identify(given, language.fit(given)).count() == n
+        found = media.sniff(media.store_texts(given).withColumn("payload", F.lit("x")).withColumn("kind", F.lit("y"))).collect()
+        assert len(found) == n and all(r.kind == "y" for r in found)
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id bigint, url string").withColumn("host", F.lit("h")).withColumn("m", F.lit(1))
+    outcomes = spark.createDataFrame([(1, 1)], "page_id bigint, bad bigint")
+    assert urls.judge(pages, outcomes, registry.RULES).count() == 3 and urls.judge(pages.limit(0), outcomes, registry.RULES).count() == 0
 
 
 def test_urls(spark):
