@@ -61,21 +61,6 @@ _COUNTS = "part int, chunk int, counts binary"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hash by word, filled as words come, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,11 +70,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingles(text: str) -> np.ndarray:
     """Distinct shingle hashes in ascending order. ``bytes.lower`` and ``bytes.split`` know ASCII
     letters and ASCII white space only, which is what a word is here."""
+    import xxhash
+
     words = text.encode().lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     k = min(n, WORDS)
     out = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
