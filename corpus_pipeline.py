@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import exact_dedup, mixing, sentencepiece_bpe, similarity, toxicity
-from granary.llm.common import held_out, table
+from granary.llm.common import bound_batches, held_out, table
 from granary.session import scratch, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -80,12 +80,20 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*kept, *sentencepiece_bpe.digests(found), "ids")
 
 
+def _owned(step: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", clean),
-    ("exact_dedup", exact),
-    ("ngram_jaccard_join", near),
-    ("mixing", mixed),
-    ("sentencepiece", encoded),
+    ("toxicity", _owned(clean)),
+    ("exact_dedup", _owned(exact)),
+    ("ngram_jaccard_join", _owned(near)),
+    ("mixing", _owned(mixed)),
+    ("sentencepiece", _owned(encoded)),
 ]
 
 #: Fitted scores, sampling by hashes and encoding have no SQL; tests compare with brute force.

@@ -25,6 +25,12 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.coalesce(rest == part, F.lit(True))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send workers batches of ``BATCH_ROWS`` rows, so that long texts don't fill them on their
+    way. It's a setting of the session, so the program that owns it calls this, not the operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of bounded size, by the mean size of its rows."""
     step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(batch.nbytes, 1)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import chat, exact_dedup, language, media, mixing, quality, sentencepiece_bpe, similarity, toxicity, urls
-from granary.llm.common import held_out, table
+from granary.llm.common import bound_batches, held_out, table
 
 PIECES = "piece_bpe_32k.model"
 
@@ -80,8 +80,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), contents).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _owned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_chat, op3_urls, op4_sentencepiece, op5_media, op6_toxicity, op7_exact_dedup, op8_similarity, op9_quality, op10_language)}
+    listed = (op1_mixing, op2_chat, op3_urls, op4_sentencepiece, op5_media, op6_toxicity, op7_exact_dedup, op8_similarity, op9_quality, op10_language)
+    return {f.__name__: _owned(f) for f in listed}
 
 
 def _level_sql(name: str, groups: str, parent: str, prior: str, on: str) -> str:

@@ -30,8 +30,8 @@ from granary.llm.common import map_batches, schema_with, texts
 
 SPACE = "▁"
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
-#: Units longer than this aren't remembered, and so many are at most.
-LONGEST_KEPT, MOST_KEPT = 48, 600_000
+#: Units longer than this aren't remembered; so many are at most, and so many pairs of tokens.
+LONGEST_KEPT, MOST_KEPT, MOST_PAIRS = 48, 300_000, 500_000
 
 
 class Codec:
@@ -93,7 +93,7 @@ class Codec:
         return parts
 
     def _compatible(self, key: int) -> bool:
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) >= MOST_PAIRS:
             self.apart.clear()
         left, right = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
         known = self.apart[key] = self._merged(left + right) == [left, right]
