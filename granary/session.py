@@ -26,6 +26,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "256m")
         .getOrCreate()
     )
 
@@ -77,7 +78,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _placed(spark: SparkSession, path: str):
+    """A path and the file system that it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system its path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _placed(spark, path)
+    system.delete(place, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    place, system = _placed(spark, path)
+    return system.getContentSummary(place).getLength()
