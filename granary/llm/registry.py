@@ -104,9 +104,10 @@ def _urls_sql() -> str:
     rules = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in RULES)
     two = ", ".join(f"'{s}'" for s in urls.TWO_LABELS)
     return f"""WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+parsed AS (SELECT *, regexp_replace(regexp_extract(host, '[^@]*$'), ':[0-9]*$', '') AS site FROM split),
 outcomes AS (SELECT doc_id AS page_id, 1 - max(quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-counted AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+counted AS (SELECT site AS host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY site),
 ends AS (SELECT *, regexp_extract(host, '[^.]*$') AS one, regexp_extract(host, '([^.]*[.])?[^.]*$') AS two, regexp_extract(host, '([^.]*[.])?([^.]*[.])?[^.]*$') AS three FROM counted),
 hosts AS (SELECT host, n, k, CASE WHEN two IN ({two}) THEN three ELSE two END AS domain, CASE WHEN two IN ({two}) THEN two ELSE one END AS suffix FROM ends),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
@@ -114,12 +115,17 @@ everything AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM suffixes),
 {_level_sql("top", "suffixes", "everything", "u.m", "true")},
 {_level_sql("middle", "domains", "top", "u.m", "g.suffix = u.suffix")},
 {_level_sql("own", "hosts", "middle", "u.m", "g.domain = u.domain")},
-known AS (SELECT host, m AS bad_share, greatest(m - {urls.SIGMAS} * sqrt(m * (1 - m) / (strength + 1)), 0) AS bad_bound FROM own),
+spans AS (SELECT host, m, m * strength AS a, (1 - m) * strength AS b FROM own),
+grids AS (SELECT *, ln(a / b) AS top, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) * {urls.SPAN / (urls.POINTS - 1)!r}::DOUBLE AS step FROM spans),
+points AS (SELECT *, unnest(range({urls.POINTS})) AS i FROM grids), placed AS (SELECT *, top + (i - {urls.POINTS // 2}) * step AS u FROM points),
+cells AS (SELECT *, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - (a * top - (a + b) * (greatest(top, 0) + ln(1 + exp(-abs(top)))))) AS w FROM placed),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, {urls.TAIL} * sum(w) OVER (PARTITION BY host) AS wanted FROM cells),
+known AS (SELECT host, m AS bad_share, 1 / (1 + exp(-(top + (i + (wanted - (s - w)) / w - {urls.POINTS // 2}) * step - step / 2))) AS bad_bound FROM sums WHERE s >= wanted AND s - w < wanted),
 rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
 fits AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
 best AS (SELECT DISTINCT host, path, rule, verdict FROM fits QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC, verdict DESC) = 1)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad_bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(bad_share, 6) AS bad_share, round(bad_bound, 6) AS bad_bound
-FROM parsed JOIN known USING (host) LEFT JOIN best USING (host, path)"""
+SELECT page_id, parsed.host AS host, parsed.path AS path, rule, coalesce(verdict, CASE WHEN bad_bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(bad_share, 6) AS bad_share, round(bad_bound, 6) AS bad_bound
+FROM parsed JOIN known ON site = known.host LEFT JOIN best ON best.host = parsed.host AND best.path = parsed.path"""
 
 
 #: Weighted sampling without replacement up to what whole epochs leave of each source's target.

@@ -525,9 +525,27 @@ def test_urls(spark):
     for i, u in enumerate(cases):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == cases[u]
     assert got[2000].verdict == "allow" and len(got) == len(rows)
+    ported = spark.createDataFrame([(1, "http://me@spam.co.uk:8080/1"), (2, "http://spam.co.uk/2"), (3, "http://a.spam.co.uk:/3")], "page_id bigint, url string")
+    many = ported.union(spark.createDataFrame([(1000 + i, "http://spam.co.uk:81/x") for i in range(200)], ported.schema))
+    again = {r.page_id: r for r in urls.judge(many, marked, rules).collect()}
+    assert again[1].host == "me@spam.co.uk:8080" and again[1].bad_share == again[2].bad_share and {again[i].verdict for i in (1, 2, 3)} == {"block"}
+    free = urls.judge(many, marked, rules, suffixes=[])
+    assert free.where("host = 'spam.co.uk'").count() == 1
     assert urls.judge(pages.limit(0), marked.limit(0), rules).count() == 0
 
 
+def test_posterior_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    cases = [(0.5, 4.0), (0.9, 3.0), (0.02, 50.0), (0.7, 1000.0), (0.3, 0.8), (0.99, 200.0), (0.6, 1e6)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, m double, s double")
+    got = {r.i: r.q for r in df.select("i", urls.lower_quantile(F.col("m"), F.col("s")).alias("q")).collect()}
+    for i, (m, s) in enumerate(cases):
+        drawn = rng.beta(m * s, (1 - m) * s, 400_000)
+        assert abs((drawn < got[i]).mean() - urls.TAIL) < 0.003, (m, s)
+
+
 def test_classifiers_on_odd_tables(spark, docs, rows):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(100, 140)] + [(100, 0, 0), (None, 1, 1), (101, None, None)], "doc_id bigint, quality int, toxic int")
     for marked in (labels, labels.limit(0)):
