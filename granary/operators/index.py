@@ -89,5 +89,17 @@ def all_words_rows(words: DataFrame, prefixes: list[str], row_id: str = "row_id"
     return found.select(row_id)
 
 
+def rows_with_words(df: DataFrame, column: str, prefixes: list[str], splitter: Splitter = tokens) -> DataFrame:
+    """Rows that have, for each prefix, a token that starts with it, where no word index is stored: one
+    pass over the texts, which neither shuffles nor lists words. A text without the prefixes anywhere
+    isn't split."""
+    found = df
+    for p in prefixes:
+        found = found.where(F.col(column).contains(p))
+    for p in prefixes:
+        found = found.where(F.exists(splitter(F.col(column)), lambda t, p=p: t.startswith(p)))
+    return found
+
+
 def fetch(df: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.join(rows, row_id, "left_semi")

@@ -519,12 +519,27 @@ def word_postings(spark, d):
 
 @query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE starts_with(word, 'the')")
 def word_prefix_search(spark, d):
-    return index.word_prefix_rows(index.word_rows(table(spark, d, "documents"), "text", "doc_id"), "the", "doc_id")
+    return index.rows_with_words(table(spark, d, "documents"), "text", ["the"]).select("doc_id")
+
+
+@query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE starts_with(word, 'the')")
+def word_prefix_search_by_index(spark, d):
+    """The same by the ranges of a stored word index."""
+    docs = table(spark, d, "documents")
+    built = stage(index.postings(index.word_rows(docs, "text", "doc_id"), ["word"], "doc_id"), "word-index")
+    return index.expand(built.where(F.col("word").startswith("the")), "doc_id")
 
 
 @query(f"""SELECT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) GROUP BY doc_id
 HAVING bool_or(starts_with(word, 'the')) AND bool_or(starts_with(word, 'of')) AND bool_or(starts_with(word, 'on'))""")
 def multi_word_search(spark, d):
+    return index.rows_with_words(table(spark, d, "documents"), "text", ["the", "of", "on"]).select("doc_id")
+
+
+@query(f"""SELECT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) GROUP BY doc_id
+HAVING bool_or(starts_with(word, 'the')) AND bool_or(starts_with(word, 'of')) AND bool_or(starts_with(word, 'on'))""")
+def multi_word_search_by_words(spark, d):
+    """The same over listed words, which an index or a stream of words gives."""
     return index.all_words_rows(index.word_rows(table(spark, d, "documents"), "text", "doc_id"), ["the", "of", "on"], "doc_id")
 
 
