@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +99,13 @@ def rows_with_words(df: DataFrame, column: str, prefixes: list[str], splitter: S
     for p in prefixes:
         found = found.where(F.col(column).contains(p))
     for p in prefixes:
-        found = found.where(F.exists(splitter(F.col(column)), lambda t, p=p: t.startswith(p)))
+        found = found.where(F.exists(splitter(F.col(column)), _starts(p)))
     return found
 
 
+def _starts(prefix: str) -> Callable[[Column], Column]:
+    return lambda token: token.startswith(prefix)
+
+
 def fetch(df: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.join(rows, row_id, "left_semi")
