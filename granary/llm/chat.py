@@ -28,11 +28,12 @@ import hashlib
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.sentencepiece_bpe import codec, read_model
+from granary.llm.sentencepiece_bpe import read_model
 
 BUDGET, HISTORY, TARGET = 1024, 128, "assistant"
 # Control strings of the template.
@@ -60,14 +61,22 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+@cache
+def _processor(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
 class ModelTokens:
-    """Tokens of a text by a SentencePiece model, without begin and end; travels with the task."""
+    """Tokens of a text by a SentencePiece model, without begin and end; travels with the task. Only
+    their number is asked for, which the library gives without a memory that has to be filled."""
 
     def __init__(self, path: str):
         self.model = read_model(path)
 
     def __call__(self, text: str) -> int:
-        return len(codec(self.model).encode(text)) // 4 - 2
+        return len(_processor(self.model).encode(text))
 
 
 def render(turns: list[tuple[str, str]], new_from: int) -> tuple[str, list[int], list[int]]:
