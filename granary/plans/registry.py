@@ -797,6 +797,6 @@ def stream_import(spark, d):
     """Events typed as they arrive and appended to a folder; what is there now is read once."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    rows = typed_stream(spark, d, schema, "iei-1-", glob="events.parquet")
+    rows = typed_stream(spark, f"{d}/events.parque[t]", schema, "iei-1-")
     import_stream(rows.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "user_id", "value", "ts")

@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from granary.types import coerce, column_specs
 
 
-def typed_stream(spark: SparkSession, path: str, schema: str, letters: str, kind: str = "parquet", glob: str | None = None) -> DataFrame:
-    """Rows of files as they arrive, typed as an import would type them; ``glob`` picks files by name."""
-    reader = spark.readStream.format(kind).schema(schema)
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+def typed_stream(spark: SparkSession, path: str, schema: str, letters: str, kind: str = "parquet") -> DataFrame:
+    """Rows of files as they arrive, typed as an import would type them. ``path`` is a folder, or a
+    pattern of files and folders."""
+    raw = spark.readStream.format(kind).schema(schema).load(path)
     kinds = dict(raw.dtypes)
     specs = [s for s in column_specs(raw.columns, letters) if s.letter not in "-S"]
     return raw.select(*[coerce(s, F.col(s.name), kinds[s.name]).alias(s.name) for s in specs])

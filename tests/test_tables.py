@@ -139,6 +139,16 @@ def test_words_as_references(spark):
     assert {r.row_id: r.text for r in encode.word_decode(coded, codes, "text").collect()} == dict(enumerate(texts))
 
 
+def test_local_folders_are_refused_off_local():
+    from types import SimpleNamespace
+
+    from granary.session import shared_dir
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master)))
+
+
 def test_scratch_clears_what_it_owns(spark):
     from pathlib import Path
 
