@@ -35,7 +35,8 @@ very long text is shingled in one task. An empty table gives an empty one. Only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,8 @@ MOST_SHINGLES = 1 << 22
 #: Bits of a frequency counter's number; counters in one row.
 COUNTER_BITS, CHUNK = 19, 1 << 13
 COUNTERS = 1 << COUNTER_BITS
-#: Bits of a place in the filter of ids.
-FILTER_BITS = 21
+#: Bits of a place in the filter of ids at least and at most, and places for each id that it holds.
+FILTER_BITS, MOST_FILTER_BITS, PLACES = 21, 27, 16
 _COUNTS = "part int, chunk int, counts binary"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,7 +99,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             total += np.bincount(np.concatenate(slots), minlength=COUNTERS) if slots else 0
         yield _own(total)
 
-    total = _summed(docs.select("text").mapInArrow(count, _COUNTS), np.int64)
+    total = _merged(docs.select("text").mapInArrow(count, _COUNTS), np.int64, np.add)
     if not len(total):
         return np.zeros(COUNTERS, np.uint8)
     usual = max(float(np.median(total)), 1.0)
@@ -265,13 +266,12 @@ def _possible(lists: DataFrame, signatures: DataFrame) -> DataFrame:
     return rows.groupBy("turn").applyInArrow(link, "a bigint, b bigint")
 
 
-def _summed(rows: DataFrame, dtype: type) -> np.ndarray:
-    """Arrays of fixed size, ``(part, chunk, counts)`` from each task, added up in two steps, so that
+def _merged(rows: DataFrame, dtype: type, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Arrays of fixed size, ``(part, chunk, counts)`` from each task, merged in two steps, so that
     no group grows with the tasks."""
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, dtype).astype(np.int64) for b in rows.column("counts").to_pylist())
-        total = np.minimum(total, np.iinfo(dtype).max).astype(dtype)
+        total = reduce(merge, (np.frombuffer(b, dtype) for b in rows.column("counts").to_pylist()))
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     once = rows.groupBy("part", "chunk").applyInArrow(add, _COUNTS)
@@ -287,42 +287,65 @@ def _own(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["part", "chunk", "counts"])
 
 
-def _slots_of(ids: np.ndarray) -> np.ndarray:
-    """Two places of an id in the filter."""
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of an id in a filter."""
     h = _mixed(ids.astype(np.int64).view(np.uint64) * _P)
-    return np.stack([h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)], 1).astype(np.int64)
+    return np.stack([h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)], 1).astype(np.int64)
 
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Shingles of the classes, from texts of their least ids, beside the other columns of ``reps``.
+def filter_bits(n: int) -> int:
+    """Bits of a place in a filter of ``n`` ids."""
+    return min(max((PLACES * n).bit_length(), FILTER_BITS), MOST_FILTER_BITS)
 
-    A filter of fixed size, made in the tasks, drops most other documents before anything moves;
-    the join decides. A filter that is full lets all pass.
-    """
+
+def _holding(ids: DataFrame, n: int) -> np.ndarray:
+    """A filter of ``n`` ids, eight places a byte, made in the tasks."""
+    bits = filter_bits(n)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << FILTER_BITS, np.uint8)
+        seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            seen[_slots_of(batch.column("least").to_numpy()).ravel()] = 1
-        yield _own(seen)
+            seen[_places(batch.column(0).to_numpy(), bits).ravel()] = True
+        yield _own(np.packbits(seen))
 
-    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(_summed(reps.select("least").mapInArrow(mark, _COUNTS), np.uint8) > 0))
+    merged = _merged(ids.mapInArrow(mark, _COUNTS), np.uint8, np.bitwise_or)
+    return merged if len(merged) else np.zeros(1 << bits >> 3, np.uint8)
 
-    def make():
-        bits = np.unpackbits(seen.value)
 
+def _held(ids: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """False for ids that a filter doesn't hold; True for the others, and for a few it doesn't."""
+    at = _places(ids, (len(seen) << 3).bit_length() - 1)
+    return (seen[at >> 3] << (at & 7).astype(np.uint8) & 128 > 0).all(1)
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Shingles of the classes, one row each, from the text of their least id, beside the other columns
+    of ``reps``.
+
+    A filter drops most other documents before anything moves; the join decides. The filter grows
+    with the classes up to a bound (16 MiB, at which it drops nine in ten others of 25 million classes); beyond it
+    more texts are moved. Texts rather than shingles are moved, as they are shorter; those that repeat
+    go once.
+    """
+    filled = docs.sparkSession.sparkContext.broadcast(_holding(reps.select("least"), reps.count()))
+
+    def pick():
+        seen = filled.value
+        return lambda batch: batch.filter(pa.array(_held(batch.column("doc_id").to_numpy(), seen)))
+
+    def cut():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            hit = bits[_slots_of(batch.column("doc_id").to_numpy())].all(1) if batch.num_rows else np.zeros(0, bool)
-            batch = batch.filter(pa.array(hit.astype(bool)))
             sets = [shingles(t) for t in texts(batch)]
-            columns = [batch.column("doc_id"), pa.array(map(digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "shingles"])
+            same = [digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
+            columns = [*(batch.column(c) for c in ("rep", "component", "bulk")), pa.array([s.tobytes() for s in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["rep", "component", "bulk", "shingles"]).filter(pa.array(same, pa.bool_()))
 
         return work
 
-    found = map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, own binary, shingles binary")
-    return found.join(reps, (F.col("doc_id") == F.col("least")) & (F.col("own") == F.col("digest"))).drop("doc_id", "own", "least", "digest")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    once = map_batches(rows, pick, "doc_id bigint, text string, text_hash bigint").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    found = once.join(reps, (F.col("doc_id") == F.col("least")) & (F.col("text_hash") == F.col("least_hash")))
+    return map_batches(found.select("text", "digest", "rep", "component", "bulk"), cut, "rep bigint, component bigint, bulk double, shingles binary")
 
 
 def _share(group: int) -> Column:
@@ -379,9 +402,11 @@ def linked(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP
     rows = stage(signed(docs, sketch(docs)), "similar-rows")
     # Rows of one digest have the same set, so any of them gives the class its prefix and signature.
     own = [F.first(c).alias(c) for c in ("prefix", "signature")]
-    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), *own)
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(first, F.first("n_shingles").alias("n"), *own)
+    classes = classes.select("digest", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("least_hash"), "n", "prefix", "signature")
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "similar-classes")
-    reps = classes.drop("digest", "least")
+    reps = classes.drop("digest", "least", "least_hash")
     shared = stage(_runs(reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))), "similar-shared")
 
     # By signatures.
@@ -394,7 +419,7 @@ def linked(docs: DataFrame, group: int = GROUP, signed_group: int = SIGNED_GROUP
 
     # By shingles.
     near = components(possible.union(beyond)).withColumnRenamed("id", "rep")
-    near = near.join(classes.select("rep", "n", "least", "digest"), "rep")
+    near = near.join(classes.select("rep", "n", "least", "least_hash", "digest"), "rep")
     bulks = near.groupBy("component").agg(F.sum(_share(group)).alias("bulk"))
     near = stage(near.drop("n").join(bulks, "component"), "similar-near")
     sets = stage(_sets(docs, near), "similar-sets")

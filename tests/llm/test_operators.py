@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,25 @@ def test_similarity(spark, docs, rows):
     assert similarity.join_similar(empty(spark)).count() == 0
 
 
+def test_similarity_fetches_each_class_once(spark):
+    """The filter holds all its ids and few others, at whatever size; a text that repeats, or shares an id
+    with another, comes once."""
+    ids = np.arange(0, 3_000_000, 15)
+    seen = similarity._holding(spark.range(0, 3_000_000, 15).toDF("least"), len(ids))
+    assert similarity.filter_bits(len(ids)) == 22 and len(seen) == 1 << 19
+    assert similarity._held(ids, seen).all() and similarity._held(np.arange(1, 3_000_000, 15), seen).mean() < 0.02
+    assert similarity.filter_bits(0) == 21 and similarity.filter_bits(10**12) == 27
+    assert not similarity._held(ids, similarity._holding(spark.createDataFrame([], "least bigint"), 0)).any()
+    a, b = words(40), words(40)
+    near = f"{a} more"
+    docs = spark.createDataFrame([(1, a)] * 50 + [(1, b)] * 3 + [(2, near)] * 2 + [(3, None), (None, a)], "doc_id bigint, text string")
+    digests = [similarity.digest(similarity.shingles(t)) for t in (a, near)]
+    hashes = {r.doc_id: r.h for r in docs.where(F.col("text") != b).select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    reps = spark.createDataFrame([(7, 1, hashes[1], digests[0], 9, 1.0), (8, 2, hashes[2], digests[1], 9, 1.0)], "rep bigint, least bigint, least_hash bigint, digest binary, component bigint, bulk double")
+    got = {r.rep: bytes(r.shingles) for r in similarity._sets(docs, reps).collect()}
+    assert similarity._sets(docs, reps).count() == 2 and got == {7: similarity.shingles(a).tobytes(), 8: similarity.shingles(near).tobytes()}
+
+
 def test_similarity_of_repeated_ids(spark):
     import corpus_pipeline
 
